@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def found(text: Column, detector: Detector) -> Column:
     )
 
 
+def bears_item(text: Column, detectors: Sequence[Detector]) -> Column:
+    """Whether any detector finds something; stops at the first match."""
+    tests = [
+        has_hint(text, d) & (
+            F.exists(matches(text, d.pattern), luhn_ok) if d.luhn else F.rlike(text, F.lit(d.pattern))
+        )
+        for d in detectors
+    ]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def by_name(entity: str) -> Detector:
     known = {d.entity: d for d in rules.VALUE_DETECTORS + rules.SPAN_DETECTORS}
     return known[entity]

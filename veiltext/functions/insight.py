@@ -80,16 +80,16 @@ def top_matches(hits: Column, limit: int = 10) -> Column:
 def security_report(text: Column) -> Column:
     """Headed sections for the categories that have facts."""
 
-    def section(heading: str, hits: Column) -> Column:
-        lines = F.transform(top_matches(hits), lambda m: F.concat(F.lit("  - "), m))
-        return F.when(
-            F.size(hits) > 0, F.concat(F.array(F.lit(heading)), lines, F.array(F.lit("")))
-        ).otherwise(F.array().cast("array<string>"))
-
-    lines = F.concat(*[
-        let(security_matches(text, name), lambda hits, heading=heading: section(heading, hits))
-        for name, heading, _ in rules.SECURITY
-    ])
+    def section(name: str, heading: str) -> Column:
+        def lines(hits: Column) -> Column:
+            items = F.transform(top_matches(hits), lambda m: F.concat(F.lit("  - "), m))
+            return F.when(
+                F.size(hits) > 0, F.concat(F.array(F.lit(heading)), items, F.array(F.lit("")))
+            ).otherwise(F.array().cast("array<string>"))
+
+        return let(security_matches(text, name), lines)
+
+    lines = F.concat(*[section(name, heading) for name, heading, _ in rules.SECURITY])
     return let(
         lines,
         lambda ls: F.when(F.size(ls) > 0, F.array_join(ls, "\n")).otherwise(rules.SECURITY_NONE),

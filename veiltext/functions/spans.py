@@ -21,6 +21,7 @@ RANKED = (
     "array<struct<start:int,shorter:int,rank:int,entity:string,text:string,"
     "end:int,source:string>>"
 )
+PAIRS = "array<struct<hit:string,gap:string,rank:int,entity:string>>"
 
 
 def empty_ranked() -> Column:
@@ -54,64 +55,65 @@ def scan(items: Column, state: Column, out_type: str,
     def inner(acc: Column, item: Column) -> Column:
         after, element, emit = step(acc["state"], item)
         out = F.when(emit, F.array_append(acc["out"], element)).otherwise(acc["out"])
-        return F.struct(after.alias("state"), out.alias("out"))
+        return F.struct(after.alias("state"), out.alias("out"), acc["done"].alias("done"))
 
     def outer(acc: Column, part: Column) -> Column:
-        begin = F.struct(acc["state"].alias("state"), none.alias("out"))
-        return let(
-            F.aggregate(part, begin, inner),
-            lambda r: F.struct(
-                r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")
-            ),
-        )
+        begin = F.struct(acc["state"].alias("state"), none.alias("out"), acc["done"].alias("done"))
+        return F.aggregate(part, begin, inner, lambda r: F.struct(
+            r["state"].alias("state"), F.array_append(r["done"], r["out"]).alias("done")
+        ))
 
     def run(all_items: Column) -> Column:
+        last = F.greatest(F.floor((F.size(all_items) - 1) / block).cast("int"), F.lit(0))
         parts = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / block).cast("int")),
+            F.sequence(F.lit(0), last),
             lambda b: F.slice(all_items, b * block + 1, F.lit(block)),
         )
-        begin = F.struct(state.alias("state"), F.array().cast(f"array<{out_type}>").alias("out"))
-        whole = F.aggregate(parts, begin, outer, lambda acc: F.flatten(acc["out"]))
-        return F.when(F.size(all_items) > 0, whole).otherwise(none)
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<{out_type}>").alias("done"))
+        return F.aggregate(parts, begin, outer, lambda acc: F.flatten(acc["done"]))
 
     return let(items, run)
 
 
-def with_gaps(text: Column, hits: Column, pattern: str) -> Column:
-    """Each match with the text before it: `array<struct<hit, gap>>`."""
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-    return F.zip_with(hits, gaps, lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+def with_gaps(text: Column, hits: Column, pattern: str, **more: Column) -> Column:
+    """Each match with the text before it, `array<struct<hit, gap, ...>>`; last, the text after."""
+    return F.zip_with(
+        hits,
+        F.split(text, pattern, -1),
+        lambda hit, gap: F.struct(
+            hit.alias("hit"), gap.alias("gap"), *[v.alias(k) for k, v in more.items()]
+        ),
+    )
 
 
-def locate(text: Column, detector: Detector, rank: int, source: str = "regex") -> Column:
-    """Every match with its offsets.
+def detect_ranked(text: Column, detectors: Sequence[Detector] = rules.SPAN_DETECTORS,
+                  first_rank: int = 1) -> Column:
+    """All detectors' spans with offsets, unresolved, in detector order.
 
     The text between matches (a split on the same pattern) and the matches themselves alternate, so
-    a running sum of their lengths gives code-point offsets, which `regexp_instr` does not.
+    a running sum of their lengths gives code-point offsets, which `regexp_instr` does not. The
+    text after a detector's last match has no match with it: there the sum starts again from 0.
     """
+    pairs = F.concat(*[
+        F.when(
+            has_hint(text, d),
+            with_gaps(text, matches(text, d.pattern), d.pattern,
+                      rank=F.lit(first_rank + i), entity=F.lit(d.entity)),
+        ).otherwise(F.array().cast(PAIRS))
+        for i, d in enumerate(detectors)
+    ])
 
     def step(at: Column, pair: Column) -> tuple[Column, Column, Column]:
         begin = at + F.length(pair["gap"])
         end = begin + F.length(pair["hit"])
-        span = ranked_span(begin, end, rank, detector.entity, pair["hit"], source)
-        return end, span, F.lit(True)
-
-    def walk(hits: Column) -> Column:
-        pairs = with_gaps(text, hits, detector.pattern)
-        return F.when(F.size(hits) > 0, scan(pairs, F.lit(0), RANKED, step)).otherwise(
-            empty_ranked()
-        )
-
-    spans = let(matches(text, detector.pattern), walk)
-    if detector.luhn:
-        spans = F.filter(spans, lambda s: luhn_ok(s["text"]))
-    return F.when(has_hint(text, detector), spans).otherwise(empty_ranked())
-
-
-def detect_ranked(text: Column, detectors: Sequence[Detector] = rules.SPAN_DETECTORS,
-                  first_rank: int = 1) -> Column:
-    """All detectors' spans, unresolved, in detector order."""
-    return F.concat(*[locate(text, d, first_rank + i) for i, d in enumerate(detectors)])
+        span = ranked_span(begin, end, pair["rank"], pair["entity"], pair["hit"], "regex")
+        return F.coalesce(end, F.lit(0)), span, pair["hit"].isNotNull()
+
+    spans = scan(pairs, F.lit(0), RANKED, step)
+    checked = [d.entity for d in detectors if d.luhn]
+    if checked:
+        spans = F.filter(spans, lambda s: ~s["entity"].isin(*checked) | luhn_ok(s["text"]))
+    return spans
 
 
 def resolve_overlaps(ranked: Column) -> Column:

@@ -108,8 +108,8 @@ def register(spark: SparkSession) -> None:
 
 
 def pii_spans(spark: SparkSession, view: str, text: str = "text") -> DataFrame:
-    """Spans of a view's text column as rows, through a lateral `inline`."""
+    """Kept spans of a view's text column as rows."""
     return spark.sql(
-        f"SELECT d.doc_id, s.entity, s.text, s.start, s.end "
-        f"FROM {view} d, LATERAL inline(pii_span_array(d.{text})) s"
+        f"SELECT doc_id, s.entity, s.text, s.start, s.end FROM "
+        f"(SELECT doc_id, pii_span_array({text}) AS spans FROM {view}) LATERAL VIEW explode(spans) e AS s"
     )

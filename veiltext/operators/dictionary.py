@@ -15,69 +15,76 @@ from veiltext.functions.spans import (
     ranked_span,
     resolve_overlaps,
     scan,
-    with_gaps,
 )
 from veiltext.functions.text import normalize_text, strip
 
 WORD = r"[\p{L}\p{N}_]+"
-# What may stand between the words of one name.
-JOINT = r"(?U)^(?:\s+|['’-])$"
-MAX_WORDS = 3
-WORD_TYPE = "array<struct<word:string,gap:string,start:int,end:int>>"
+MARKS = ("'", "\u2019", "-")
 
 
-def words_of(text: Column) -> Column:
-    """Words with the text before them and their offsets."""
+def words_of(docs: DataFrame, text: str) -> DataFrame:
+    """One row per word: `doc_id, start`, the word, and the two words after it with what is between."""
+    hits, gaps, starts = F.col("_hits"), F.col("_gaps"), F.col("_starts")
+    sizes = F.zip_with(
+        hits, gaps, lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))
+    )
+
+    def step(at: Column, size: Column) -> tuple[Column, Column, Column]:
+        begin = at + size["gap"]
+        return begin + F.coalesce(size["hit"], F.lit(0)), begin, F.lit(True)
 
-    def step(at: Column, pair: Column) -> tuple[Column, Column, Column]:
-        begin = at + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        word = F.struct(
-            pair["hit"].alias("word"), pair["gap"].alias("gap"),
-            begin.alias("start"), end.alias("end"),
+    def near(word: Column, i: Column) -> Column:
+        return F.struct(
+            F.get(starts, i).alias("start"), word.alias("w1"),
+            F.get(gaps, i + 1).alias("g2"), F.get(hits, i + 1).alias("w2"),
+            F.get(gaps, i + 2).alias("g3"), F.get(hits, i + 2).alias("w3"),
         )
-        return end, word, F.lit(True)
 
-    return scan(with_gaps(text, matches(text, WORD), WORD), F.lit(0), WORD_TYPE, step)
+    return (
+        docs.select(
+            "doc_id", matches(F.col(text), WORD).alias("_hits"),
+            F.split(F.col(text), WORD, -1).alias("_gaps"),
+        )
+        .withColumn("_starts", scan(sizes, F.lit(0), "array<int>", step))
+        .select("doc_id", F.inline(F.transform(hits, near)))
+    )
 
 
 def name_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(strip(name), r"(?U)\s+", " "))
 
 
-def word_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every run of one to three words that could be a name: `doc_id, start, end, text, key`."""
-    words = F.col("_words")
-
-    def grams(word: Column, i: Column) -> Column:
-        out, value, joined = [], word["word"], F.lit(True)
-        out.append(F.struct(word["start"].alias("start"), word["end"].alias("end"),
-                            value.alias("text")))
-        for ahead in range(1, MAX_WORDS):
-            later = F.get(words, i + ahead)
-            joined = joined & later.isNotNull() & F.rlike(later["gap"], F.lit(JOINT))
-            value = F.concat(value, later["gap"], later["word"])
-            out.append(F.when(joined, F.struct(
-                word["start"].alias("start"), later["end"].alias("end"), value.alias("text")
-            )))
-        return F.array_compact(F.array(*out))
-
-    return (
-        docs.withColumn("_words", words_of(F.col(text)))
-        .select("doc_id", F.explode(F.flatten(F.transform("_words", grams))).alias("g"))
-        .select("doc_id", "g.start", "g.end", "g.text", name_key(F.col("g.text")).alias("key"))
-    )
+def _joint(gap: Column) -> Column:
+    """What may stand between two words of one name, as it stands in the key; else null."""
+    blank = F.rlike(gap, F.lit(r"(?U)^\s+$"))
+    return F.when((gap == " ") | blank, " ").when(gap.isin(*MARKS), gap)
 
 
 def dictionary_spans(docs: DataFrame, names: DataFrame, entity: str, source: str,
                      text: str = "text") -> DataFrame:
     """Spans of the table's names, any case: `doc_id, entity, text, start, end, source`.
 
-    An equi-join on the lower-cased name. Spark broadcasts the table while its size is under
-    `spark.sql.autoBroadcastJoinThreshold` and shuffles both sides beyond it.
+    Names have one to three words. Words that begin no name are dropped first; then runs of one to
+    three words meet the names in an equi-join on the lower-cased name. Spark broadcasts the table
+    while its size is under `spark.sql.autoBroadcastJoinThreshold` and shuffles beyond it.
     """
     keys = names.select(name_key(F.col("name")).alias("key")).filter(F.col("key") != "").distinct()
-    return word_ngrams(docs, text).join(keys, "key").select(
+    first = keys.select(F.regexp_extract("key", WORD, 0).alias("first")).distinct()
+    words = words_of(docs, text).withColumn("first", F.lower("w1")).join(first, "first", "left_semi")
+
+    def run(key: Column, *parts: str) -> Column:
+        value = F.concat(*parts)
+        return F.when(key.isNotNull(), F.struct(
+            value.alias("text"), (F.col("start") + F.length(value)).alias("end"), key.alias("key")
+        ))
+
+    one = F.col("first")
+    two = F.concat(one, _joint(F.col("g2")), F.lower("w2"))
+    three = F.concat(two, _joint(F.col("g3")), F.lower("w3"))
+    runs = F.array_compact(F.array(
+        run(one, "w1"), run(two, "w1", "g2", "w2"), run(three, "w1", "g2", "w2", "g3", "w3")
+    ))
+    return words.select("doc_id", "start", F.inline(runs)).join(keys, "key").select(
         "doc_id", F.lit(entity).alias("entity"), "text", "start", "end",
         F.lit(source).alias("source"),
     )

@@ -57,8 +57,8 @@ def _spans(table: str, detectors: tuple[rules.Detector, ...], keys: str = "doc_i
         parts.append(f"""
           select {keys}, {rank} as rk, '{d.entity}' as entity, s, s + length(hit) as e, hit from (
             select {keys}, m[i] as hit,
-              list_sum(list_transform(g[1:i], lambda x: length(x)))
-              + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) as s
+              cast(list_sum(list_transform(g[1:i], lambda x: length(x)))
+              + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) as bigint) as s
             from (select {keys}, m, g, unnest(range(1, len(m) + 1)) as i from (
               select {keys}, regexp_extract_all(text, {p}) as m,
                 regexp_split_to_array(text, {p}) as g
@@ -126,9 +126,15 @@ _SIMPLE_ADDRESS = r"\d{1,5}\s+[A-Za-z0-9\s]+?\s+[A-Za-z]{2}\s+\d{5}"
 def _terms(text: str) -> str:
     terms = [*rules.CLIENT_TERMS, "global tech solutions", "Global Tech Solutions",
              "Acme Corporation", "Tech Innovations Inc", "Secure Systems LLC"]
-    for term in terms:
-        text = f"regexp_replace({text}, {_q(chr(92) + 'b' + term + chr(92) + 'b')}, '[CLIENT TERM]', 'gi')"
-    return text
+    # Twice, because a match takes the character after it, which the next match may need; with a
+    # mark in place of the tag, because the tag holds a term itself.
+    other = "[^\\p{L}\\p{N}_]"
+    for term in [t for t in terms for _ in range(2)]:
+        text = (
+            f"regexp_replace({text}, '(^|{other}){term}({other}|$)', "
+            "'\\1[' || chr(2) || ']\\2', 'gi')"
+        )
+    return f"replace({text}, chr(2), 'CLIENT TERM')"
 
 
 _STEPS = {
@@ -373,8 +379,7 @@ def _tables() -> dict[str, str]:
         "from masked d join filled using (doc_id)"
     )
     # dictionary names
-    t["tokens"] = _word_table("corpus")
-    t["persons"] = _name_spans("tokens", [n.lower() for n in NAMES])
+    t["persons"] = _name_spans("corpus")
     t["real_persons"] = (
         "select * from persons where lower(hit) not in ('time in', 'cadence')"
     )
@@ -382,10 +387,8 @@ def _tables() -> dict[str, str]:
         "select doc_id, 0 as rk, 'PERSON' as entity, s, e, hit from real_norm_persons "
         "union all select doc_id, rk, entity, s, e, hit from spans"
     )
-    t["norm_tokens"] = _word_table("norm")
     t["real_norm_persons"] = (
-        f"select * from ({_name_spans('norm_tokens', [n.lower() for n in NAMES])}) "
-        "where lower(hit) not in ('time in', 'cadence')"
+        f"select * from ({_name_spans('norm')}) where lower(hit) not in ('time in', 'cadence')"
     )
     t["named_order"], _ = _kept("named_spans")
     t["named_kept"] = recursion.format(o="named_order", r="named_kept")
@@ -439,33 +442,12 @@ def _tables() -> dict[str, str]:
     return t
 
 
-def _word_table(docs: str) -> str:
-    w = "'[\\p{L}\\p{N}_]+'"
-    return f"""
-      select doc_id, i, m[i] as word, g[i] as gap, s, s + length(m[i]) as e from (
-        select doc_id, m, g, i,
-          sum(length(g[i]) + length(m[i])) over (partition by doc_id order by i) - length(m[i]) as s
-        from (select doc_id, m, g, unnest(range(1, len(m) + 1)) as i from (
-          select doc_id, regexp_extract_all(text, {w}) as m, regexp_split_to_array(text, {w}) as g
-          from {docs})))"""
-
-
-def _name_spans(words: str, names: list[str]) -> str:
-    listed = ", ".join(_q(n) for n in names)
-    joint = "regexp_matches({}, '^(\\s+|[''’-])$')"
-    key = "lower(regexp_replace(hit, '\\s+', ' ', 'g'))"
-    return f"""
-      select distinct doc_id, s, e, hit from (
-        select doc_id, s, e, word as hit from {words}
-        union all
-        select a.doc_id, a.s, b.e, a.word || b.gap || b.word from {words} a
-          join {words} b on b.doc_id = a.doc_id and b.i = a.i + 1 where {joint.format('b.gap')}
-        union all
-        select a.doc_id, a.s, c.e, a.word || b.gap || b.word || c.gap || c.word from {words} a
-          join {words} b on b.doc_id = a.doc_id and b.i = a.i + 1
-          join {words} c on c.doc_id = a.doc_id and c.i = a.i + 2
-          where {joint.format('b.gap')} and {joint.format('c.gap')})
-      where {key} in ({listed})"""
+def _name_spans(docs: str) -> str:
+    """Each listed name as a whole-word pattern of its own."""
+    patterns = tuple(
+        rules.Detector("PERSON", r"(?i)\b" + name.replace(" ", r"\s+") + r"\b", "") for name in NAMES
+    )
+    return _spans(docs, patterns)
 
 
 _TABLES = _tables()
