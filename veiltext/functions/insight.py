@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,18 +60,45 @@ def key_findings(clean: Column) -> Column:
     return let(let(keyword_findings(clean), fill), pad)
 
 
-def security_matches(text: Column, category: str) -> Column:
-    """One category's facts: whole matches, pattern by pattern."""
+def _facts(text: Column, low: Column, odd: Column, category: str) -> Column:
     patterns = next(p for name, _, p in rules.SECURITY if name == category)
-    return F.concat(*[matches(text, "(?iU)" + p) for p in patterns])
+    found = []
+    for pattern, words in zip(patterns, rules.SECURITY_HINTS[category]):
+        hint = odd
+        for word in words:
+            hint = hint | F.contains(low, F.lit(word))
+        found.append(F.when(hint, matches(text, "(?iU)" + pattern)))
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.coalesce(f, none) for f in found])
+
+
+def _has_case_twin(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in rules.CASE_TWINS])
+
+
+def security_matches(text: Column, category: str) -> Column:
+    """One category's facts: whole matches, pattern by pattern.
+
+    Most documents hold none of a pattern's words, so a plain search comes before each pattern.
+    """
+    return let(F.lower(text), lambda low: _facts(text, low, _has_case_twin(text), category))
 
 
 def security_info(text: Column) -> Column:
     """All six categories as `array<struct<category, matches>>`."""
-    return F.array(*[
-        F.struct(F.lit(name).alias("category"), security_matches(text, name).alias("matches"))
-        for name, _, _ in rules.SECURITY
-    ])
+
+    def all_facts(look: Column) -> Column:
+        return F.array(*[
+            F.struct(
+                F.lit(name).alias("category"),
+                _facts(text, look["low"], look["odd"], name).alias("matches"),
+            )
+            for name, _, _ in rules.SECURITY
+        ])
+
+    return let(
+        F.struct(F.lower(text).alias("low"), _has_case_twin(text).alias("odd")), all_facts
+    )
 
 
 def top_matches(hits: Column, limit: int = 10) -> Column:
@@ -79,19 +108,15 @@ def top_matches(hits: Column, limit: int = 10) -> Column:
 
 def security_report(text: Column) -> Column:
     """Headed sections for the categories that have facts."""
+    headings = F.create_map(*[F.lit(v) for name, heading, _ in rules.SECURITY for v in (name, heading)])
 
-    def section(name: str, heading: str) -> Column:
-        def lines(hits: Column) -> Column:
-            items = F.transform(top_matches(hits), lambda m: F.concat(F.lit("  - "), m))
-            return F.when(
-                F.size(hits) > 0, F.concat(F.array(F.lit(heading)), items, F.array(F.lit("")))
-            ).otherwise(F.array().cast("array<string>"))
-
-        return let(security_matches(text, name), lines)
+    def section(info: Column) -> Column:
+        items = F.transform(top_matches(info["matches"]), lambda m: F.concat(F.lit("  - "), m))
+        return F.concat(F.array(headings[info["category"]]), items, F.array(F.lit("")))
 
-    lines = F.concat(*[section(name, heading) for name, heading, _ in rules.SECURITY])
+    filled = F.filter(security_info(text), lambda info: F.size(info["matches"]) > 0)
     return let(
-        lines,
+        F.flatten(F.transform(filled, section)),
         lambda ls: F.when(F.size(ls) > 0, F.array_join(ls, "\n")).otherwise(rules.SECURITY_NONE),
     )
 

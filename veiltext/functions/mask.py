@@ -54,7 +54,9 @@ def mask_by_offset(text: Column, spans: Column) -> Column:
         tail = _cut(blocks, F.element_at(spans, -1)["end"], F.length(text))
         return F.concat(F.array_join(pieces, ""), tail)
 
-    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    blocks = F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(
+        F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    )
     return F.when(F.size(spans) > 0, let(blocks, build)).otherwise(text)
 
 

@@ -164,7 +164,8 @@ class Tables:
         )
 
     def names(self) -> DataFrame:
-        return self.spark.createDataFrame([(n,) for n in NAMES], "name string")
+        rows = ", ".join(f"('{n}')" for n in NAMES)
+        return self.spark.sql(f"select name from values {rows} as t(name)")
 
     def places(self) -> DataFrame:
         return self.read("nation").select(F.col("n_name").alias("name")).unionByName(

@@ -141,6 +141,21 @@ SECURITY = (
         r"(risk|threat)\s+(level|rating)",
     )),
 )
+# Per category and pattern: words of which a match must hold one, tested before the pattern.
+SECURITY_HINTS = {
+    "firewall_rules": (("allow", "permit", "deny", "block"), ("bound",), ("port",), ("tcp", "udp")),
+    "iam_policies": (
+        ("role", "policy", "permission"), ("admin", "user", "guest"), ("access", "permission"),
+    ),
+    "access_controls": (
+        ("authentication", "authorization"), ("login", "signin"), ("multi-factor", "mfa", "2fa"),
+    ),
+    "password_policies": (("passw",), ("min", "max"), ("complexity", "strength")),
+    "encryption_info": (("encrypt",), ("aes", "rsa", "ssl", "tls"), ("cert",)),
+    "vulnerabilities": (("vulnerability", "exploit"), ("cve", "cvss"), ("risk", "threat")),
+}
+# Letters beyond ASCII that match an ASCII letter when case is ignored, and stay so in lower case.
+CASE_TWINS = ("\u0130", "\u0131", "\u017f")
 SECURITY_NONE = "No specific security information found."
 
 # --- findings: any keyword inside the lower-cased text ----------------------------------------
