@@ -87,7 +87,7 @@ def cleanse_passport(text: Column) -> Column:
 def client_name(file_name: Column) -> Column:
     """The file's stem if it is longer than three characters, else null."""
     base = F.substring_index(file_name, "/", -1)
-    stem = F.regexp_replace(base, r"(?s)(?<=[^.])\.[^.]*$", "")
+    stem = F.regexp_replace(base, r"(?s)^(\.*[^.].*)\.[^.]*$", "$1")
     return F.when(F.length(stem) > 3, stem)
 
 

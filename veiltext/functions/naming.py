@@ -16,12 +16,12 @@ def base_name(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """The name without its last suffix; a leading dot is not a suffix."""
-    return F.regexp_replace(base_name(path), r"(?s)(?<=[^.])\.[^.]+$", "")
+    return F.regexp_replace(base_name(path), r"(?s)^(\.*[^.].*)\.[^.]+$", "$1")
 
 
 def file_type(path: Column) -> Column:
     """The last suffix, lower-cased, without the dot."""
-    return F.lower(F.regexp_extract(base_name(path), r"(?s)[^.]\.([^.]+)$", 1))
+    return F.lower(F.regexp_extract(base_name(path), r"(?s)[^.].*\.([^.]+)$", 1))
 
 
 def extension(path: Column) -> Column:
@@ -37,7 +37,7 @@ def is_allowed(path: Column, types: Sequence[str] = rules.UPLOAD_TYPES) -> Colum
 
 def compound_suffix(path: Column) -> Column:
     """All suffixes joined, lower-cased, dots included."""
-    return F.lower(F.regexp_extract(base_name(path), r"(?s)^\.*[^.]+((?:\.[^.]+)*)$", 1))
+    return F.lower(F.regexp_extract(base_name(path), r"(?s)^\.*[^.]+((?:\.[^.]*)*\.[^.]+)$", 1))
 
 
 def route_upload(path: Column) -> Column:
