@@ -6,82 +6,87 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veiltext import rules
+from veiltext.functions.detect import matches
 from veiltext.functions.text import let
+from veiltext.rules import ahead
 
 
 def cleanse_email(text: Column) -> Column:
     return F.when(
-        F.contains(text, F.lit("@")), F.regexp_replace(text, rules.CLEANSE_EMAIL, "[EMAIL]")
+        F.contains(text, F.lit("@")),
+        F.regexp_replace(text, rules.CLEANSE_EMAIL, "[EMAIL]"),
     ).otherwise(text)
 
 
 def cleanse_phone(text: Column) -> Column:
-    return F.regexp_replace(text, rules.CLEANSE_PHONE, "[PHONE]")
+    return F.regexp_replace(text, ahead(r"\d", rules.CLEANSE_PHONE), "[PHONE]")
 
 
 def cleanse_ssn(text: Column) -> Column:
-    return F.regexp_replace(text, rules.CLEANSE_SSN, "[SSN]")
+    return F.regexp_replace(text, ahead(r"\d", rules.CLEANSE_SSN), "[SSN]")
 
 
 def cleanse_card(text: Column) -> Column:
-    return F.regexp_replace(text, rules.CLEANSE_CARD, "[CREDIT CARD]")
+    return F.regexp_replace(text, ahead(r"\d", rules.CLEANSE_CARD), "[CREDIT CARD]")
 
 
 def cleanse_ip(text: Column) -> Column:
-    return F.regexp_replace(text, rules.CLEANSE_IP, "[IP ADDRESS]")
+    return F.regexp_replace(text, ahead(r"\d", rules.CLEANSE_IP), "[IP ADDRESS]")
 
 
 def cleanse_date(text: Column) -> Column:
-    return F.regexp_replace(text, rules.CLEANSE_DATE, "[DATE]")
+    return F.regexp_replace(text, ahead(r"\d", rules.CLEANSE_DATE), "[DATE]")
 
 
 # An address is a number, then words with at most two commas, then a state and a ZIP. Written
-# plainly, with three lazy runs, a search takes quadratic time and more on text without punctuation. Two facts
-# make an exact linear form possible. From one number the nearest state-and-ZIP is always the end
-# chosen, so a single lazy run with the comma cases behind it finds the same end. And if a number
-# fails, every later number in the same comma-free run fails too, since the run after the first
-# could pass over the second; so group 2 swallows the rest of that run and gives it back unchanged.
+# plainly, with three lazy runs, a search takes quadratic time and more on text without punctuation.
+# Three facts make an exact linear form possible. From one number the nearest state-and-ZIP is always
+# the end chosen, so a single lazy run with the comma cases behind it finds the same end. If a number
+# fails, every later number in the same comma-free run fails too, since the run after the first could
+# pass over the second; so the second alternative swallows the rest of that run, to be given back
+# unchanged: it never ends in a digit, and an address always does. And white space after the number
+# needs to be shared with the words only when at most one letter stands before the end.
 _RUN = r"[A-Za-z0-9\s]"
-_SKIP = r"|(\d{1,5}\s" + _RUN + r"*(?<![0-9]))"
+_SKIP = r"|\d{1,5}\s" + _RUN + r"*(?<![0-9])"
+_SPACE = r"(?:\s++|\s(?=\s+[A-Za-z]?(?:,|[A-Za-z]{2}\s)))"
 _ADDRESS_FULL = (
-    r"(?U)(\d{1,5}(?:\s++|\s)" + _RUN + r"+?"
+    r"(?U)\d{1,5}" + _SPACE + _RUN + r"+?"
     r"(?:[A-Za-z\s](?:,\s*)?|,[A-Za-z\s]+?(?:,\s*)?)"
-    r"[A-Z]{2}\s+\d{5}(?:-\d{4})?)" + _SKIP
+    r"[A-Z]{2}\s+\d{5}(?:-\d{4})?" + _SKIP
 )
-_ADDRESS_SIMPLE = (
-    r"(?U)(\d{1,5}(?:\s++|\s)" + _RUN + r"+?\s[A-Za-z]{2}\s+\d{5})" + _SKIP
-)
-_ZIP = r"(?U)[A-Za-z]{2}\s+\d{5}"
+_ADDRESS_SIMPLE = r"(?U)\d{1,5}" + _SPACE + _RUN + r"+?\s[A-Za-z]{2}\s+\d{5}" + _SKIP
+_ZIP_FULL = r"(?U)[A-Z]{2}\s+\d{5}"
+_ZIP_SIMPLE = r"(?U)\s[A-Za-z]{2}\s+\d{5}"
 
 
 def _replace_addresses(text: Column, pattern: str) -> Column:
-    addresses = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    skipped = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    between = F.split(text, pattern, -1)
-    pieces = F.zip_with(
-        between,
-        F.zip_with(addresses, skipped, lambda a, s: F.when(a != "", "[ADDRESS]").otherwise(s)),
-        lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))),
-    )
-    return F.array_join(pieces, "")
+    def shown(gap: Column, hit: Column) -> Column:
+        is_address = F.rlike(F.right(hit, F.lit(1)), F.lit(r"(?U)\d"))
+        kept = F.when(is_address, "[ADDRESS]").otherwise(F.coalesce(hit, F.lit("")))
+        return F.concat(gap, kept)
+
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), matches(text, pattern), shown), "")
 
 
 def cleanse_address(text: Column) -> Column:
-    both = let(_replace_addresses(text, _ADDRESS_FULL),
-               lambda once: _replace_addresses(once, _ADDRESS_SIMPLE))
-    return F.when(F.rlike(text, F.lit(_ZIP)), both).otherwise(text)
+    once = F.when(
+        F.rlike(text, F.lit(_ZIP_FULL)), _replace_addresses(text, _ADDRESS_FULL)
+    ).otherwise(text)
+    return let(once, lambda t: F.when(
+        F.rlike(t, F.lit(_ZIP_SIMPLE)), _replace_addresses(t, _ADDRESS_SIMPLE)
+    ).otherwise(t))
 
 
 def cleanse_mac(text: Column) -> Column:
-    return F.regexp_replace(text, rules.CLEANSE_MAC, "[MAC ADDRESS]")
+    return F.regexp_replace(text, ahead(r"[0-9A-F]", rules.CLEANSE_MAC), "[MAC ADDRESS]")
 
 
 def cleanse_license(text: Column) -> Column:
-    return F.regexp_replace(text, rules.CLEANSE_LICENSE, "[DRIVER LICENSE]")
+    return F.regexp_replace(text, ahead(r"[A-Z]", rules.CLEANSE_LICENSE), "[DRIVER LICENSE]")
 
 
 def cleanse_passport(text: Column) -> Column:
-    return F.regexp_replace(text, rules.CLEANSE_PASSPORT, "[PASSPORT]")
+    return F.regexp_replace(text, ahead(r"[A-Z]", rules.CLEANSE_PASSPORT), "[PASSPORT]")
 
 
 def client_name(file_name: Column) -> Column:
@@ -106,7 +111,8 @@ def cleanse_client_terms(text: Column) -> Column:
     The terms are whole words and the inserted tag begins and ends with a bracket, so no
     replacement can make or unmake a later term; longer names start with words that are gone by then.
     """
-    words = r"(?iU)\b(?:" + "|".join(rules.CLIENT_TERMS) + r")\b"
+    first = "[" + "".join(sorted({term[0] for term in rules.CLIENT_TERMS})) + "]"
+    words = ahead(first, r"(?iU)\b(?:" + "|".join(rules.CLIENT_TERMS) + r")\b")
     return F.regexp_replace(text, words, "[CLIENT TERM]")
 
 

@@ -28,7 +28,7 @@ def luhn_ok(card: Column) -> Column:
 
 
 def found(text: Column, detector: Detector) -> Column:
-    hits = matches(text, detector.pattern)
+    hits = matches(text, detector.search)
     if detector.luhn:
         hits = F.filter(hits, luhn_ok)
     return F.when(has_hint(text, detector), hits).otherwise(
@@ -40,7 +40,7 @@ def bears_item(text: Column, detectors: Sequence[Detector]) -> Column:
     """Whether any detector finds something; stops at the first match."""
     tests = [
         has_hint(text, d) & (
-            F.exists(matches(text, d.pattern), luhn_ok) if d.luhn else F.rlike(text, F.lit(d.pattern))
+            F.exists(matches(text, d.search), luhn_ok) if d.luhn else F.rlike(text, F.lit(d.search))
         )
         for d in detectors
     ]

@@ -97,7 +97,7 @@ def detect_ranked(text: Column, detectors: Sequence[Detector] = rules.SPAN_DETEC
     pairs = F.concat(*[
         F.when(
             has_hint(text, d),
-            with_gaps(text, matches(text, d.pattern), d.pattern,
+            with_gaps(text, matches(text, d.search), d.search,
                       rank=F.lit(first_rank + i), entity=F.lit(d.entity)),
         ).otherwise(F.array().cast(PAIRS))
         for i, d in enumerate(detectors)

@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veiltext import rules
-from veiltext.functions.cleanse import _ADDRESS_FULL, _ADDRESS_SIMPLE, _ZIP
+from veiltext.functions.cleanse import (
+    _ADDRESS_FULL,
+    _ADDRESS_SIMPLE,
+    _ZIP_FULL,
+    _ZIP_SIMPLE,
+)
 
 
 def _q(text: str) -> str:
@@ -20,30 +25,38 @@ def _chars(text: str) -> str:
     return "'" + "".join(f"\\u{ord(c):04x}" for c in text) + "'"
 
 
-def _located(entity: str, rank: int, pattern: str) -> str:
-    """Spans of one detector: positions are running sums over the split walk."""
-    return f"""
-      aggregate(
-        zip_with(regexp_extract_all(t, {_q(pattern)}, 0),
-                 slice(split(t, {_q(pattern)}, -1), 1, size(regexp_extract_all(t, {_q(pattern)}, 0))),
-                 (h, g) -> named_struct('h', h, 'g', g)),
-        named_struct('at', 0, 'out', cast(array() AS {_SPANS})),
-        (acc, p) -> named_struct(
-          'at', acc.at + length(p.g) + length(p.h),
-          'out', array_append(acc.out, named_struct(
-            'start', acc.at + length(p.g), 'shorter', -length(p.h), 'rank', {rank},
-            'entity', '{entity}', 'text', p.h, 'end', acc.at + length(p.g) + length(p.h)))),
-        acc -> acc.out)"""
+_SPANS = "array<struct<start:int,shorter:int,rank:int,entity:string,text:string,end:int>>"
+_PAIRS = "array<struct<h:string,g:string,rank:int,entity:string>>"
 
 
-_SPANS = "array<struct<start:int,shorter:int,rank:int,entity:string,text:string,end:int>>"
+def _pairs(rank: int, d: rules.Detector) -> str:
+    """One detector's matches with the text before each; the last entry has no match."""
+    hint = "contains(t, '@')" if d.hint == "@" else f"t rlike {_q(d.hint)}"
+    return f"""if({hint},
+        zip_with(regexp_extract_all(t, {_q(d.search)}, 0), split(t, {_q(d.search)}, -1),
+          (h, g) -> named_struct('h', h, 'g', g, 'rank', {rank}, 'entity', '{d.entity}')),
+        cast(array() AS {_PAIRS}))"""
+
+
+def _all_spans() -> str:
+    """Positions are running sums over the split walk, one detector after the other."""
+    pairs = ", ".join(_pairs(i, d) for i, d in enumerate(rules.SPAN_DETECTORS, 1))
+    return f"""aggregate(concat({pairs}),
+      named_struct('at', 0, 'out', cast(array() AS {_SPANS})),
+      (acc, p) -> named_struct(
+        'at', coalesce(acc.at + length(p.g) + length(p.h), 0),
+        'out', if(p.h IS NULL, acc.out, array_append(acc.out, named_struct(
+          'start', acc.at + length(p.g), 'shorter', -length(p.h), 'rank', p.rank,
+          'entity', p.entity, 'text', p.h, 'end', acc.at + length(p.g) + length(p.h))))),
+      acc -> acc.out)"""
 
 
-def _address(text: str, pattern: str) -> str:
-    return f"""array_join(zip_with(split({text}, {_q(pattern)}, -1),
-      zip_with(regexp_extract_all({text}, {_q(pattern)}, 1),
-               regexp_extract_all({text}, {_q(pattern)}, 2), (a, s) -> if(a <> '', '[ADDRESS]', s)),
-      (g, h) -> concat(g, coalesce(h, ''))), '')"""
+def _address(text: str, zip_code: str, pattern: str) -> str:
+    return f"""if({text} rlike {_q(zip_code)},
+      array_join(zip_with(split({text}, {_q(pattern)}, -1),
+        regexp_extract_all({text}, {_q(pattern)}, 0),
+        (g, h) -> concat(g, if(right(h, 1) rlike '(?U)\\\\d', '[ADDRESS]', coalesce(h, '')))), ''),
+      {text})"""
 
 
 def _replacing(text: str, *pairs: tuple[str, str]) -> str:
@@ -61,10 +74,7 @@ def sql_definitions() -> list[str]:
         "btrim(regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', '\\n'), "
         "'[ \\t]+', ' '), '\\n{3,}', '\\n\\n'), " + _chars(rules.WHITESPACE) + ")"
     )
-    all_spans = "concat(" + ",".join(
-        _located(d.entity, i + 1, d.pattern) for i, d in enumerate(rules.SPAN_DETECTORS)
-    ) + ")"
-    kept = f"""aggregate(array_sort({all_spans}),
+    kept = f"""aggregate(array_sort({_all_spans()}),
       named_struct('edge', 0, 'kept', cast(array() AS {_SPANS})),
       (acc, s) -> if(s.start >= acc.edge,
         named_struct('edge', s.end, 'kept', array_append(acc.kept, s)), acc),
@@ -81,8 +91,9 @@ def sql_definitions() -> list[str]:
         (rules.CLEANSE_SSN, "[SSN]"), (rules.CLEANSE_CARD, "[CREDIT CARD]"),
         (rules.CLEANSE_IP, "[IP ADDRESS]"), (rules.CLEANSE_DATE, "[DATE]"),
     )
-    both = _let(_address("a", _ADDRESS_FULL), "b", _address("b", _ADDRESS_SIMPLE))
-    address = _let(head, "a", f"if(a rlike {_q(_ZIP)}, {both}, a)")
+    both = _let(_address("a", _ZIP_FULL, _ADDRESS_FULL), "b",
+                _address("b", _ZIP_SIMPLE, _ADDRESS_SIMPLE))
+    address = _let(head, "a", both)
     terms = r"(?iU)\b(?:" + "|".join(rules.CLIENT_TERMS) + r")\b"
     chain = _replacing(
         address, (rules.CLEANSE_MAC, "[MAC ADDRESS]"),

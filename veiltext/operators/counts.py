@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veiltext import rules
@@ -59,8 +59,8 @@ def summary_report(items: DataFrame) -> DataFrame:
     per_type = items.groupBy(label_of(F.col("type")).alias("label")).agg(
         F.count(F.lit(1)).alias("items")
     )
-    total = per_type.agg(F.sum("items").alias("total"))
-    return per_type.join(total).orderBy(F.desc("items"), "label")
+    total = F.sum("items").over(Window.partitionBy())
+    return per_type.withColumn("total", total).orderBy(F.desc("items"), "label")
 
 
 def cells_changed(masked: DataFrame, by: Sequence[str]) -> DataFrame:
