@@ -32,6 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/veiltext-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder and read from there.
+
+    For a small result of long work that several later steps need: the work is not done again for
+    each of them, nor after the loss of an executor.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores when a small input arrives in fewer splits than there are cores.
 
