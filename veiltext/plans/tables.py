@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veiltext.session import spread
-
 NOTES = """
 select o_orderkey as doc_id,
   concat('Zenith', o_custkey % 50, '.', case o_orderkey % 6 when 0 then 'txt' when 1 then 'pdf'
@@ -69,10 +67,10 @@ class Tables:
 
     def notes(self) -> DataFrame:
         orders = self.read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        return self.spark.sql(notes_sql(), orders=spread(orders, "o_orderkey"))
+        return self.spark.sql(notes_sql(), orders=orders)
 
     def documents(self) -> DataFrame:
-        docs = spread(self.read("documents").select("doc_id", "text", "source"), "doc_id")
+        docs = self.read("documents").select("doc_id", "text", "source")
         name = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
         return docs.select("doc_id", name.alias("file_name"), "text")
 
@@ -112,7 +110,7 @@ class Tables:
 
     def units(self) -> DataFrame:
         """Conversation turns as the units of a document; user turns stand for table cells."""
-        turns = spread(self.read("conversations"), "conv_id")
+        turns = self.read("conversations")
         kind = F.when(F.col("role") == "user", "cell").otherwise("paragraph")
         return turns.select(
             F.col("conv_id").alias("doc_id"), kind.alias("unit_kind"),
@@ -130,9 +128,8 @@ class Tables:
 
     def cells(self) -> DataFrame:
         """Orders as workbooks: one per customer, one sheet per priority, one row per order."""
-        orders = spread(
-            self.read("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"),
-            "o_orderkey",
+        orders = self.read("orders").select(
+            "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
         )
         wide = self.spark.sql(
             notes_sql(", o_custkey, o_orderkey, o_orderpriority"), orders=orders
@@ -174,7 +171,7 @@ class Tables:
 
     def place_docs(self) -> DataFrame:
         """Customers as short texts that name their nation and region."""
-        customer = spread(self.read("customer").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
+        customer = self.read("customer").select("c_custkey", "c_name", "c_nationkey")
         return (
             customer.join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))

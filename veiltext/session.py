@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,12 +25,19 @@ def local_session(cpus: int | str = "*", app: str = "veiltext") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the shared folder named by the session, else a local one."""
+    """A new folder under `spark.checkpoint.dir`.
+
+    Where that is unset, a session whose executors are threads of the driver gets a folder of its
+    own, named in that setting and deleted when Python ends; any other session is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="veiltext-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/veiltext-{uuid.uuid4().hex}"
 
 
@@ -42,13 +51,3 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores when a small input arrives in fewer splits than there are cores.
-
-    Large inputs have more splits than cores and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
