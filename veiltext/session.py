@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own = ""
+
+
 def local_session(cpus: int | str = "*", app: str = "veiltext") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     parallel = "8" if cpus == "*" else str(cpus)
@@ -27,17 +30,19 @@ def local_session(cpus: int | str = "*", app: str = "veiltext") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under `spark.checkpoint.dir`.
 
-    Where that is unset, a session whose executors are threads of the driver gets a folder of its
-    own, named in that setting and deleted when Python ends; any other session is refused.
+    Where that is unset, a session whose executors are threads of the driver gets a folder that is
+    deleted when Python ends; any other session is refused.
     """
+    global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="veiltext-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own = tempfile.mkdtemp(prefix="veiltext-")
+            atexit.register(shutil.rmtree, _own, ignore_errors=True)
+        base = _own
     return f"{base.rstrip('/')}/veiltext-{uuid.uuid4().hex}"
 
 
