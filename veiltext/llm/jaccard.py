@@ -19,7 +19,7 @@ from veiltext.llm.components import components
 from veiltext.session import stored
 
 GROUP_CHARS = 1 << 20
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 BROADCAST_KEYS = 1 << 20
 # Shingles with a hash in this part of the range come first in the order of all shingles. Their
 # lists are counted over all documents; a little more than the share a search needs to look at.
@@ -31,7 +31,7 @@ class Rule:
     """The similarity `num / den` of sets, in integers, and what follows from it.
 
     Two sets of sizes a and b must share `need(a, b)` members. Under one order of all shingles, they
-    then share one among the first `probe(a)` of the larger and the first `index(b)` of the smaller.
+    then share one among the first `probe(a)` of the one and the first `probe(b)` of the other.
     """
 
     def __init__(self, num: int, den: int) -> None:
@@ -43,9 +43,6 @@ class Rule:
     def probe(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1
 
-    def index(self, n: int) -> int:
-        return n - -(-2 * self.num * n // (self.den + self.num)) + 1
-
 
 class WordHashes:
     """A 64-bit hash for each word, looked up by number; emptied between groups when full."""
@@ -124,15 +121,27 @@ def _class(found: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-HEADS = "doc_id bigint, n bigint, class bigint, counted int, head array<bigint>"
+# A set's sketch: the parity of its members in each of 64 * SKETCH cells. Two sets differ in at
+# least as many members as their sketches differ in bits, which bounds what they can share.
+SKETCH = 8
+BITS = [f"b{i}" for i in range(SKETCH)]
+HEADS = "doc_id bigint, n bigint, class bigint, counted int, head array<bigint>, " + ", ".join(
+    f"{name} bigint" for name in BITS
+)
 _HEAD = pa.schema([
     ("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("counted", pa.int32()),
-    ("head", pa.list_(pa.int64())),
+    ("head", pa.list_(pa.int64())), *((name, pa.int64()) for name in BITS),
 ])
 SETS = "class bigint, shingles binary"
 _SET = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    cells = (found >> np.uint64(7)) % np.uint64(64 * SKETCH)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _heads(batches: Iterator[pa.RecordBatch], size: int, rule: Rule) -> Iterator[pa.RecordBatch]:
     limit = np.uint64(int(COUNTED * 2**64))
     for batch in batches:
@@ -141,11 +150,13 @@ def _heads(batches: Iterator[pa.RecordBatch], size: int, rule: Rule) -> Iterator
             kept = [s[:max(c, rule.probe(len(s)) if len(s) else 0)] for s, c in zip(sets, counted)]
             offsets = np.cumsum([0, *map(len, kept)])
             flat = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, dtype=np.int64)
+            bits = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(at, len(sets)).cast(pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_class, sets), pa.int64()),
                 pa.array(counted, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
+                *(pa.array(bits[:, i]) for i in range(SKETCH)),
             ], schema=_HEAD)
 
 
@@ -157,8 +168,8 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             ], schema=_SET)
 
 
-def divide_skip(query: np.ndarray, others: list[np.ndarray], rule: Rule, mu: float = 0.01) -> list[int]:
-    """Which of the other sets share as many members with the query as the rule needs.
+def divide_skip(query: np.ndarray, others: list[np.ndarray], rule: Rule, mu: float = 0.01) -> list[tuple[int, int]]:
+    """Which of the other sets share as many members with the query as the rule needs, and how many.
 
     Each member of the query has an inverted list of the others that hold it. The L longest lists
     are set aside; the short ones are merged with a heap, which counts how often each set occurs.
@@ -193,16 +204,16 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], rule: Rule, mu: flo
             at = int(np.searchsorted(one, no))
             count += at < len(one) and one[at] == no
             left -= 1
-            if count >= needs[no] or count + left < needs[no]:
+            if count + left < needs[no]:
                 break
         if count >= needs[no]:
-            found.append(no)
+            found.append((no, count))
     return found
 
 
 def _verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """The pairs of each batch that are similar; pairs with the same first set are searched together."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())])
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         left, right = batch.column(2), batch.column(3)
@@ -214,19 +225,22 @@ def _verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Reco
             for at in range(0, len(rows), 256):
                 some = rows[at:at + 256]
                 others = [np.frombuffer(right[i].as_py(), dtype=np.uint64) for i in some]
-                pairs += [(key, b[some[k]]) for k in divide_skip(query, others, rule)]
+                pairs += [
+                    (key, b[some[k]], shared / (len(query) + len(others[k]) - shared))
+                    for k, shared in divide_skip(query, others, rule)
+                ]
         if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=schema)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*pairs))), schema=schema)
 
 
 def short_lists(heads: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """The inverted lists a search looks at: `token, class, n, indexed`.
+    """The inverted lists a search looks at: `token, class, n, left, own`.
 
     All shingles have one order: counted ones by the number of documents that hold them, then the
-    rest by hash. A class looks at its first `probe(n)` shingles, and is found under its first
-    `index(n)`. Shingles of one document alone come first and lead nowhere, so they are left out,
-    and a document with enough of them has no candidates at all. Long lists (of passages that many
-    documents share) come last, so they are only looked at by documents made of little else.
+    rest by hash. A class looks at its first `probe(n)` shingles; `left` counts its shingles from
+    this one on, `own` those that no other document has. The latter come first and lead nowhere, so
+    they are left out, and a document with enough of them has no candidates at all. Long lists (of
+    passages that many documents share) come last, so only documents made of little else look at them.
     """
     tokens = heads.filter("n > 0").select("class", "counted", F.posexplode("head").alias("pos", "token"))
     known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
@@ -238,47 +252,40 @@ def short_lists(heads: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     by_class = Window.partitionBy("class")
     order = by_class.orderBy(F.desc("early"), F.when(F.col("early"), F.col("docs")).otherwise(0), "token")
     ranked = repeated.join(classes.select("class", "n", "counted"), "class").select(
-        "class", "token", "n", "early", "pos", "counted",
+        "class", "token", "n", "early", "pos",
         (F.row_number().over(order) - 1).alias("_at"),
-        F.count(F.when(F.col("early"), 1)).over(by_class).alias("_early"),
+        (F.col("counted") - F.count(F.when(F.col("early"), 1)).over(by_class)).alias("own"),
     )
-    # Before a counted shingle stand all counted ones that no other document has.
-    rank = F.when(F.col("early"), F.col("counted") - F.col("_early") + F.col("_at")).otherwise(F.col("pos"))
+    rank = F.when(F.col("early"), F.col("own") + F.col("_at")).otherwise(F.col("pos"))
     n = F.col("n")
-    probe = n - F.ceil(n * rule.num / rule.den) + 1
-    index = n - F.ceil(n * (2 * rule.num) / (rule.den + rule.num)) + 1
     # Division is in doubles: one place more costs a candidate, one less could cost a link.
+    probe = n - F.ceil(n * rule.num / rule.den) + 1
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= probe).select(
-        "token", "class", "n", (F.col("rank") <= index).alias("indexed")
-    )
-
-
-def _ordered(a: str, b: str) -> F.Column:
-    return (F.col(f"{a}.n") < F.col(f"{b}.n")) | (
-        (F.col(f"{a}.n") == F.col(f"{b}.n")) & (F.col(f"{a}.class") < F.col(f"{b}.class"))
+        "token", "class", "n", (n - F.col("rank")).alias("left"), "own"
     )
 
 
 def links(docs: DataFrame, heads: DataFrame, classes: DataFrame, size: int, rule: Rule) -> DataFrame:
     """Similar pairs of classes, `a, b`: enough to connect all that are linked directly or by others.
 
-    Candidates meet in the inverted lists. First each list's shortest indexed member is compared
-    with the others, which is as many pairs as the lists have rows and joins most groups. What is
-    connected by then needs no comparing; lists whose members are all connected are done. In the
-    others, each member outside the list's largest connected part is compared with every member of
-    another part, so every pair that could still connect two parts is looked at, and the pairs within
-    a large group are not. Nothing is capped.
+    Candidates meet in the inverted lists. First each list's hub, the member with the fewest
+    shingles of its own, is compared with the others; then the others that were not like the hub are
+    compared with the set most like it, which in a group of copies with a few edits each is the text
+    that they all come from. Both are no more pairs than the lists have rows, and they join most
+    groups. What is connected by then needs no comparing; lists whose members are all connected are
+    done. In the others, each member outside the list's largest connected part is compared with every
+    member of another part that it could still share enough with, by what both have left and by their
+    sketches. So every pair that may connect two parts is looked at, and the pairs within a large
+    group are not. Nothing is capped.
     """
     lists = stored(short_lists(heads, classes, rule))
-    close = F.col("r.n") * rule.den >= F.col("q.n") * rule.num
-
     shared = lists.groupBy("token").agg(
-        F.min(F.when(F.col("indexed"), F.struct("n", "class"))).alias("r"), F.count(F.lit(1)).alias("m")
-    ).filter("m > 1 and r is not null")
+        F.min(F.struct("own", "n", "class")).alias("r"), F.count(F.lit(1)).alias("m")
+    ).filter("m > 1")
+    close = F.least("n", "r.n") * rule.den >= F.greatest("n", "r.n") * rule.num
     star = stored(
-        lists.alias("q").join(shared.select("token", "r"), "token")
-        .filter(_ordered("r", "q")).filter(close)
-        .select(F.col("r.class").alias("a"), F.col("q.class").alias("b")).distinct()
+        lists.join(shared, "token").filter(F.col("class") != F.col("r.class")).filter(close)
+        .select(F.col("r.class").alias("a"), F.col("class").alias("b")).distinct()
     )
     some = lists.join(shared.select("token"), "token", "left_semi").select("class").distinct()
     wanted = stored(classes.join(some, "class").select(F.col("first").alias("doc_id")).distinct())
@@ -294,34 +301,41 @@ def links(docs: DataFrame, heads: DataFrame, classes: DataFrame, size: int, rule
         left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("_a"))
         right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("_b"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "_a", "_b")
-        return stored(both.mapInArrow(partial(_verified, rule=rule), "a bigint, b bigint"))
+        return stored(both.mapInArrow(partial(_verified, rule=rule), "a bigint, b bigint, likeness double"))
 
-    found = verified(star)
+    near = verified(star)
+    middle = near.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("m")).select(
+        "a", F.col("m.b").alias("middle")
+    )
+    again = star.join(near, ["a", "b"], "left_anti").join(middle, "a").select(
+        F.col("middle").alias("a"), "b"
+    )
+    found = near.unionByName(verified(stored(again.distinct())))
     part = components(found)
     marked = stored(
         lists.join(shared.select("token"), "token", "left_semi")
         .join(part, lists["class"] == part["node"], "left")
-        .select("token", "class", "n", "indexed", F.coalesce("component", "class").alias("part"))
+        .select("token", "class", "n", "left", F.coalesce("component", "class").alias("part"))
     )
     sizes = marked.groupBy("token", "part").agg(F.count(F.lit(1)).alias("m"))
     main = (
         sizes.groupBy("token").agg(F.max(F.struct("m", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
         .filter("parts > 1").select("token", F.col("most.part").alias("main"))
     )
-    open_lists = stored(marked.join(main, "token"))
-    outside = open_lists.filter("part <> main").select("token", "class", "n", "indexed", "part")
-    apart = F.col("x.part") != F.col("y.part")
-    x, y = outside.alias("x"), open_lists.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & apart)
-    turned = _ordered("x", "y")
-    pairs = met.select(
-        F.when(turned, F.col("x.class")).otherwise(F.col("y.class")).alias("a"),
-        F.when(turned, F.col("y.class")).otherwise(F.col("x.class")).alias("b"),
-        F.when(turned, F.col("x.indexed")).otherwise(F.col("y.indexed")).alias("indexed"),
-        F.least("x.n", "y.n").alias("low"), F.greatest("x.n", "y.n").alias("high"),
-    ).filter("indexed").filter(F.col("low") * rule.den >= F.col("high") * rule.num).select("a", "b").distinct()
-    rest = verified(stored(pairs.join(star, ["a", "b"], "left_anti")))
-    return found.unionByName(rest)
+    open_lists = stored(marked.join(main, "token").join(classes.select("class", *BITS), "class"))
+    x = open_lists.filter("part <> main").alias("x")
+    y = open_lists.alias("y")
+    # At the first shingle that two sets share, what either has left bounds what they share.
+    differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITS), F.lit(0))
+    both = F.col("x.n") + F.col("y.n")
+    most = F.least("x.left", "y.left", (both - differ) / 2)
+    able = most * (rule.den + rule.num) >= both * rule.num
+    pairs = (
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & able)
+        .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+        .distinct()
+    )
+    return found.unionByName(verified(stored(pairs))).select("a", "b")
 
 
 def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -343,7 +357,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -
     heads = stored(docs.select("doc_id", "text").mapInArrow(partial(_heads, size=size, rule=rule), HEADS))
     classes = stored(
         heads.filter("n > 0").groupBy("class")
-        .agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("counted").alias("counted"))
+        .agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("counted").alias("counted"),
+             *(F.min(name).alias(name) for name in BITS))
     )
     part = components(links(docs, heads, classes, size, rule))
     joined = classes.join(part, classes["class"] == part["node"], "left").select(
@@ -351,7 +366,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -
     )
     lowest = joined.groupBy("part").agg(F.min("first").alias("component_id"))
     named = stored(joined.join(lowest, "part").select("class", "component_id"))
-    return heads.drop("head", "counted").join(named, "class", "left").select(
+    return heads.select("doc_id", "n", "class").join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
