@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BYTES = 16 << 20
@@ -17,3 +21,21 @@ def small_batches(spark: SparkSession) -> None:
     text = str(held or "").lower().rstrip("b")
     if not text.isdigit() or int(text) > BYTES:
         spark.conf.set(SETTING, str(BYTES))
+
+
+def annotated(docs: DataFrame, find: Callable[[list[str]], list], found: str) -> DataFrame:
+    """`doc_id` of each row with the columns `found` that `find` gives for a list of texts.
+
+    A null text is handed over as an empty one. Keys pass through as they are, whatever their type.
+    """
+    small_batches(docs.sparkSession)
+    key = docs.schema["doc_id"].dataType.simpleString()
+    columns = StructType.fromDDL(found).names
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            values = find(texts) if texts else [[] for _ in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, values)], ["doc_id", *columns])
+
+    return docs.select("doc_id", "text").mapInArrow(step, f"doc_id {key}, {found}")

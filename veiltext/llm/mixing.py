@@ -207,10 +207,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """
     documents, _ = mix(docs, **settings)
     key = settings.get("key", "doc_id")
-    times = documents.filter("taken > 0").groupBy(F.col(key).alias("_taken")).agg(
-        F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times")
+    times = (
+        documents.filter("taken > 0").groupBy(F.col(key).alias("_taken"))
+        .agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+        .select("_taken", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     )
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")
     return docs.join(times, docs[key].eqNullSafe(times["_taken"])).select(
-        *(docs[name] for name in docs.columns), copies
-    ).drop("_copy")
+        *(docs[name] for name in docs.columns)
+    )

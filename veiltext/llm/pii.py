@@ -5,14 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from veiltext.llm.batches import small_batches
+from veiltext.llm.batches import annotated, small_batches
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -149,17 +148,17 @@ def named(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def _report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            spans = find(text if isinstance(text, str) else "")
-            base = [s for s in spans if s[0] in BASE_KINDS]
-            counts = [sum(s[0] == kind for s in base) for kind in BASE_KINDS]
-            rows.append((*counts, hashlib.sha256(named(base).encode()).hexdigest(), named(spans)))
-        out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-        out.insert(0, "doc_id", batch["doc_id"].array)
-        yield out
+COUNTS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+
+
+def _report(texts: list[str]) -> list[tuple]:
+    rows = []
+    for text in texts:
+        spans = find(text)
+        base = [s for s in spans if s[0] in BASE_KINDS]
+        counts = [sum(s[0] == kind for s in base) for kind in BASE_KINDS]
+        rows.append((*counts, hashlib.sha256(named(base).encode()).hexdigest(), named(spans)))
+    return list(zip(*rows))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -175,13 +174,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     One text is one row's work, with no shuffle. A null or empty text has no spans; rows with null or
     repeated keys are read each for itself; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        _report,
-        f"doc_id {key}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-        "base_sha256 string, spans string",
-    )
+    return annotated(docs, _report, COUNTS)
 
 
 def redact(text: str) -> str:
@@ -194,12 +187,15 @@ def redact(text: str) -> str:
     return "".join(out) + text[at:] if out else text
 
 
-def _redacted(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch[text] = [redact(t) if isinstance(t, str) else None for t in batch[text]]
-        yield batch
-
-
 def redacted_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns, with personal data in `text` replaced; a null text stays null."""
-    return docs.mapInPandas(partial(_redacted, text=text), docs.schema)
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [None if t is None else redact(t) for t in batch.column(place).to_pylist()]
+            columns = [*batch.columns[:place], pa.array(clean, pa.string()), *batch.columns[place + 1:]]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(step, docs.schema)

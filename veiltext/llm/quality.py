@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import small_batches
+from veiltext.llm.batches import annotated, small_batches
 from veiltext.session import stored
 
-WORD = re.compile(r"[^ \t-\r]+")
+WORD = re.compile(r"[^ \t-\r]")
+BLANKS = " \t\n\x0b\x0c\r"
 SIGNS = "#*$%&|<>"
 WINDOW = 5
 GROUP_CHARS = 1 << 20
@@ -26,6 +27,11 @@ BASE = (
 )
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words in UTF-8, which parts at ASCII blanks alone."""
+    return text.encode("utf-8", "surrogatepass").split()
+
+
 class Words:
     """Numbers for words, in the order they are met, and a hash of each.
 
@@ -34,10 +40,10 @@ class Words:
     """
 
     def __init__(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[bytes, int] = {}
         self.hashes = np.zeros(1 << 12, dtype=np.uint64)
 
-    def numbered(self, texts: list[list[str]]) -> np.ndarray:
+    def numbered(self, texts: list[list[bytes]]) -> np.ndarray:
         """The numbers of all words of the texts, one after the other."""
         if len(self.numbers) > KNOWN_WORDS:
             self.numbers.clear()
@@ -46,8 +52,7 @@ class Words:
             no = known[word] = len(known)
             if no >= len(self.hashes):
                 self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            data = word.encode("utf-8", "surrogatepass")
-            self.hashes[no] = zlib.crc32(data) << 32 | zlib.crc32(data, 0x9E3779B9)
+            self.hashes[no] = zlib.crc32(word) << 32 | zlib.crc32(word, 0x9E3779B9)
         total = sum(map(len, texts))
         return np.fromiter((known[w] for text in texts for w in text), dtype=np.int64, count=total)
 
@@ -57,7 +62,7 @@ def _words() -> Words:
     return Words()
 
 
-def groups(texts: Iterator[str | None]) -> Iterator[list[str]]:
+def groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
     """The texts in runs of about a million characters; a null counts as empty."""
     held: list[str] = []
     size = 0
@@ -77,7 +82,8 @@ def buckets(hashes: np.ndarray, docs: np.ndarray, count: int) -> tuple[np.ndarra
     mix ^= mix >> np.uint64(29)
     same = docs[:-1] == docs[1:]
     found = np.concatenate([hashes, mix[same]]) * np.uint64(0xD6E8FEB86659FD93)
-    return (found >> np.uint64(33)) % np.uint64(count), np.concatenate([docs, docs[:-1][same]])
+    found = (found >> np.uint64(33)) % np.uint64(count)
+    return found.astype(np.int64), np.concatenate([docs, docs[:-1][same]])
 
 
 def repeated_words(numbers: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -87,6 +93,8 @@ def repeated_words(numbers: np.ndarray, docs: np.ndarray) -> np.ndarray:
     if n <= 0:
         return covered[:-1] > 0
     start = np.flatnonzero(docs[:n] == docs[WINDOW - 1:])
+    if not len(start):
+        return covered[:-1] > 0
     # A window in two integers, exactly: texts of a group and words have fewer than 2**21 numbers.
     high = numbers[start] << 42 | numbers[start + 1] << 21 | numbers[start + 2]
     low = docs[start] << 42 | numbers[start + 3] << 21 | numbers[start + 4]
@@ -104,10 +112,6 @@ def _lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _totals(values: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(docs, weights=values, minlength=n)
-
-
 def _count(batches: Iterator[pd.DataFrame], count: int) -> Iterator[pd.DataFrame]:
     """The bucket counts of one partition, for all texts and for the trusted ones."""
     raw, good = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
@@ -115,12 +119,11 @@ def _count(batches: Iterator[pd.DataFrame], count: int) -> Iterator[pd.DataFrame
         trusted = batch["trusted"].to_numpy(dtype=bool)
         at = 0
         for texts in groups(batch["text"]):
-            split = [WORD.findall(text) for text in texts]
+            split = [words_of(text) for text in texts]
             words = _words()
             numbers = words.numbered(split)
             docs = np.repeat(np.arange(len(split)), [len(s) for s in split])
             found, owner = buckets(words.hashes[numbers], docs, count)
-            found = found.astype(np.int64)
             raw += np.bincount(found, minlength=count)
             good += np.bincount(found[trusted[at:at + len(texts)][owner]], minlength=count)
             at += len(texts)
@@ -153,40 +156,37 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, count: int = 1 << 15) ->
     return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
-def _score(batches: Iterator[pd.DataFrame], weights: np.ndarray, limits: tuple[int, int]) -> Iterator[pd.DataFrame]:
-    least_words, most_repeated = limits
-    for batch in batches:
-        at = 0
-        for texts in groups(batch["text"]):
-            n = len(texts)
-            split = [WORD.findall(text) for text in texts]
-            words = _words()
-            numbers = words.numbered(split)
-            n_words = np.array([len(s) for s in split], dtype=np.int64)
-            docs = np.repeat(np.arange(n), n_words)
-            found, owner = buckets(words.hashes[numbers], docs, len(weights))
-            ngrams = np.bincount(owner, minlength=n)
-            ratio = _totals(weights[found.astype(np.int64)], owner, n) / np.maximum(ngrams, 1)
-            repeat = _totals(repeated_words(numbers, docs), docs, n).astype(np.int64)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].iloc[at:at + n].array,
-                "n_words": n_words,
-                "word_chars": [sum(map(len, s)) for s in split],
-                "n_symbols": [sum(map(text.count, SIGNS)) for text in texts],
-                "n_dup_lines": [_lines(text) for text in texts],
-                "n_repeat_words": repeat,
-                "base_failed": (n_words < least_words) | (100 * repeat > most_repeated * n_words),
-                "ratio": np.where(ngrams > 0, ratio, 0.0),
-            })
-            at += n
+def _score(texts: list[str], weights: np.ndarray, least_words: int, most_repeated: int) -> list[np.ndarray]:
+    parts = []
+    for some in groups(texts):
+        n = len(some)
+        split = [words_of(text) for text in some]
+        words = _words()
+        numbers = words.numbered(split)
+        n_words = np.array([len(s) for s in split], dtype=np.int64)
+        docs = np.repeat(np.arange(n), n_words)
+        found, owner = buckets(words.hashes[numbers], docs, len(weights))
+        ngrams = np.bincount(owner, minlength=n)
+        ratio = np.bincount(owner, weights=weights[found], minlength=n) / np.maximum(ngrams, 1)
+        repeat = np.bincount(docs, weights=repeated_words(numbers, docs), minlength=n).astype(np.int64)
+        parts.append((
+            n_words,
+            np.array([len(text) - sum(map(text.count, BLANKS)) for text in some], dtype=np.int64),
+            np.array([sum(map(text.count, SIGNS)) for text in some], dtype=np.int64),
+            np.array(list(map(_lines, some)), dtype=np.int64),
+            repeat,
+            (n_words < least_words) | (100 * repeat > most_repeated * n_words),
+            ratio,
+        ))
+    return [np.concatenate(column) for column in zip(*parts)]
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, least_words: int = 10,
                     most_repeated: int = 20) -> DataFrame:
     """The counts, the base rules and the mean log-likelihood ratio of each document's n-grams."""
-    step = partial(_score, weights=weights, limits=(least_words, most_repeated))
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(step, f"doc_id {key}, {BASE}, ratio double")
+    return annotated(
+        docs, lambda texts: _score(texts, weights, least_words, most_repeated), f"{BASE}, ratio double"
+    )
 
 
 def verdict_limit(scored: DataFrame, labels: DataFrame, step: float = 1 / 1024) -> float | None:

@@ -14,6 +14,11 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
 
 
+def _side(start: str, size: str, shards: int, total: int) -> Column:
+    """The shard that holds the middle of a stretch of bytes."""
+    return F.expr(f"int(least({shards - 1}, {shards} * (2 * {start} + {size}) div (2L * {total})))")
+
+
 def byte_shards(docs: DataFrame, shards: int = 8, slack: int = 32, key: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """Every row with its shard: `key, size, text_crc32, law, shard, slot, start`.
@@ -40,10 +45,7 @@ def byte_shards(docs: DataFrame, shards: int = 8, slack: int = 32, key: str = "d
     placed = stored(running(sized.join(first, same), order, ["size"]))
 
     total = placed.agg(F.sum("size")).first()[0] or 1
-    middle = lambda start, size: F.least(
-        F.lit(shards - 1), F.floor(F.lit(shards) * (2 * start + size) / F.lit(2 * total))
-    ).cast("int")
-    placed = placed.withColumn("_cut", middle(F.col("size_before"), F.col("size")))
+    placed = placed.withColumn("_cut", _side("size_before", "size", shards, total))
     group = ["_first", *same]
     # A cut lies in one group at most, so this has fewer rows than there are shards.
     whole = (
@@ -51,7 +53,7 @@ def byte_shards(docs: DataFrame, shards: int = 8, slack: int = 32, key: str = "d
         .agg(F.min("_cut").alias("_low"), F.max("_cut").alias("_high"),
              F.sum("size").alias("_bytes"), F.min("size_before").alias("_start"))
         .filter("_low < _high").filter(F.col("_bytes") * shards * slack <= total)
-        .select(*group, middle(F.col("_start"), F.col("_bytes")).alias("_moved"))
+        .select(*group, _side("_start", "_bytes", shards, total).alias("_moved"))
     )
     dealt = placed.join(F.broadcast(whole), group, "left").withColumn(
         "shard", F.coalesce("_moved", "_cut")

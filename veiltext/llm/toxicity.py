@@ -6,19 +6,20 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import small_batches
+from veiltext.llm.batches import annotated, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18
 KNOWN_WORDS = 400_000
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
 def fold(key: Column) -> Column:
@@ -136,33 +137,41 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, width: int
     return model or {-1: -30.0}
 
 
-def _score(batches: Iterator[pd.DataFrame], model: dict[int, float], offending: float) -> Iterator[pd.DataFrame]:
-    known: dict[str, list[tuple[int, float]]] = {}
-    bias = model[-1]
-    for batch in batches:
-        scores, found = [], []
-        for text in batch["text"]:
-            none, spans = 0.0, []
-            for sentence in SENTENCE.finditer(text if isinstance(text, str) else ""):
-                hit: dict[int, float] = {}
-                words = WORD.findall(sentence.group())
-                for word in words:
-                    weights = known.get(word)
-                    if weights is None:
-                        weights = known[word] = [(b, model[b]) for b in features(word) if b in model]
-                    if weights:
-                        hit.update(weights)
-                if words:
-                    z = bias + math.fsum(hit.values())
-                    none -= z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-                    p = 1 / (1 + math.exp(-z)) if z > -30 else 0.0
-                    if p >= offending:
-                        spans.append({"start": sentence.start(), "end": sentence.end(), "score": p})
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            scores.append(-math.expm1(none))
-            found.append(spans)
-        yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": scores, "offending": found})
+class Scorer:
+    """Scores texts with a model; words keep their features' weights while a worker remembers them."""
+
+    def __init__(self, model: dict[int, float], offending: float) -> None:
+        self.model, self.offending = model, offending
+        self.known: dict[str, list[tuple[int, float]]] = {}
+
+    def _sentence(self, words: list[str]) -> float:
+        """The log odds of a sentence; a feature that occurs twice counts once."""
+        hit: dict[int, float] = {}
+        for word in words:
+            weights = self.known.get(word)
+            if weights is None:
+                found = [(b, self.model[b]) for b in features(word) if b in self.model]
+                weights = self.known[word] = found
+            if weights:
+                hit.update(weights)
+        return self.model[-1] + math.fsum(hit.values())
+
+    def text(self, text: str) -> tuple[float, list[dict]]:
+        none, spans = 0.0, []
+        for sentence in SENTENCE.finditer(text):
+            if words := WORD.findall(sentence.group()):
+                z = max(-700.0, min(700.0, self._sentence(words)))
+                none -= max(z, 0.0) + math.log1p(math.exp(-abs(z)))
+                p = 1 / (1 + math.exp(-z))
+                if p >= self.offending:
+                    spans.append({"start": sentence.start(), "end": sentence.end(), "score": p})
+        return -math.expm1(none), spans
+
+    def __call__(self, texts: list[str]) -> list:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        scores, spans = zip(*map(self.text, texts))
+        return [scores, pa.array(spans, _SPANS)]
 
 
 def score_documents(docs: DataFrame, model: dict[int, float], offending: float = 0.5) -> DataFrame:
@@ -172,9 +181,7 @@ def score_documents(docs: DataFrame, model: dict[int, float], offending: float =
     Text alone decides a score. A null text, or one without words, scores 0. Repeated and null keys
     are scored row by row; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(
-        partial(_score, model=model, offending=offending),
-        f"doc_id {key}, score double, offending array<struct<start:int,end:int,score:double>>",
+    return annotated(
+        docs, Scorer(model, offending),
+        "score double, offending array<struct<start:int,end:int,score:double>>",
     )
