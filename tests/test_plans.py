@@ -1,5 +1,6 @@
 """The shape of plans: what reaches the scan, what shuffles, what stays in the JVM."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from veiltext.operators.documents import artifacts
@@ -11,12 +12,31 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_python_and_no_forced_broadcast(spark, folder):
-    for name in ("mask_text", "cleanse_full", "report_rows", "sec_long", "detect_person_dict",
-                 "ocr_pick_ngrams", "mask_pages_doc_entities"):
-        df = catalog.queries()[name](spark, folder)
-        assert "Python" not in plan(df), name
-        assert "hint" not in df._jdf.queryExecution().logical().toString().lower(), name
+SINKS = {
+    "file_inventory", "read_text_docs", "read_csv_docs", "write_clean_text", "write_report_json",
+    "write_masked_csv", "stream_cleanse", "stream_counters",
+}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SINKS))
+def test_no_python_no_forced_broadcast_no_pair_loop(spark, folder, name):
+    df = catalog.queries()[name](spark, folder)
+    text = plan(df)
+    assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+    assert "hint" not in df._jdf.queryExecution().logical().toString().lower()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_dictionary_joins_without_broadcast(spark, folder):
+    """Beyond the threshold names meet runs in a sort-merge join; rows of words are pruned before."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()["detect_person_dict"](spark, folder)
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+        assert df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
 def test_document_flow_has_no_shuffle_of_its_own(spark, folder):

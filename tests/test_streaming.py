@@ -12,6 +12,7 @@ SCHEMA = "doc_id long, file_name string, text string"
 def test_restart_goes_on_and_equals_batch(spark, tmp_path):
     land, out, totals = (str(tmp_path / n) for n in ("in", "out", "totals"))
     rows = [(i, "a.txt", f"user{i}@x.org from 10.0.0.{i} or 555-123-{i:04d}") for i in range(20)]
+    rows.append((20, "b.txt", None))  # a bad row among good ones
     for part in (rows[:12], rows[12:]):
         spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(land)
         stream = spark.readStream.schema(SCHEMA).parquet(land)
@@ -20,6 +21,23 @@ def test_restart_goes_on_and_equals_batch(spark, tmp_path):
     batch = spark.read.parquet(land)
     want = {(r.doc_id, r.m) for r in batch.select("doc_id", mask_text(F.col("text")).alias("m")).collect()}
     got = [(r.doc_id, r.cleaned_text) for r in spark.read.parquet(out).collect()]
-    assert len(got) == 20 and set(got) == want
-    assert {tuple(r) for r in spark.read.parquet(totals).collect()} == {
+    assert len(got) == 21 and set(got) == want
+    bad = spark.read.parquet(out).filter("status = 'failed'").collect()
+    assert [r.doc_id for r in bad] == [20]
+    assert {tuple(r) for r in live.latest_counts(spark, totals).collect()} == {
         tuple(r) for r in item_table(batch).groupBy("type").count().collect()}
+
+
+def test_crash_between_batches_keeps_the_last_totals(spark, tmp_path):
+    """A batch that died half-way has left no readable folder; running it again gives the totals."""
+    land, totals, state = (str(tmp_path / n) for n in ("in", "totals", "state"))
+    for i in range(4):
+        spark.createDataFrame([(i, "a.txt", f"a{i}@x.org b{i}@x.org")], SCHEMA).coalesce(1).write.mode(
+            "append").parquet(land)
+    stream = live.document_stream(spark, land, files_per_batch=1)
+    live.start_counters(stream, totals, state).awaitTermination()
+    assert len([p for p in (tmp_path / "totals").iterdir() if p.name.startswith("batch=")]) >= 4
+    (tmp_path / "totals" / "batch=99" / "_temporary").mkdir(parents=True)
+    assert [tuple(r) for r in live.latest_counts(spark, totals).collect()] == [("EMAIL_ADDRESS", 8)]
+    live.start_counters(stream, totals, state).awaitTermination()
+    assert [tuple(r) for r in live.latest_counts(spark, totals).collect()] == [("EMAIL_ADDRESS", 8)]

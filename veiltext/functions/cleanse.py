@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veiltext import rules
-from veiltext.functions.detect import matches
+from veiltext.functions.detect import is_address, matches
 from veiltext.functions.text import let
 from veiltext.rules import ahead
 
 
 def cleanse_email(text: Column) -> Column:
+    """Addresses by their tag; long runs that are none are matched once and given back."""
+    pattern = rules.swallowing(rules.CLEANSE_EMAIL)
     return F.when(
-        F.contains(text, F.lit("@")),
-        F.regexp_replace(text, rules.CLEANSE_EMAIL, "[EMAIL]"),
+        F.contains(text, F.lit("@")), _replace_real(text, pattern, is_address, "[EMAIL]")
     ).otherwise(text)
 
 
@@ -59,15 +62,20 @@ _ZIP_FULL = r"(?U)[A-Z]{2}\s+\d{5}"
 _ZIP_SIMPLE = r"(?U)\s[A-Za-z]{2}\s+\d{5}"
 
 
-def _replace_addresses(text: Column, pattern: str) -> Column:
+def _replace_real(text: Column, pattern: str, is_real: Callable[[Column], Column], tag: str) -> Column:
+    """Replace the matches that are real; the others are put back as they were."""
     def shown(gap: Column, hit: Column) -> Column:
-        is_address = F.rlike(F.right(hit, F.lit(1)), F.lit(r"(?U)\d"))
-        kept = F.when(is_address, "[ADDRESS]").otherwise(F.coalesce(hit, F.lit("")))
-        return F.concat(gap, kept)
+        return F.concat(gap, F.when(is_real(hit), tag).otherwise(F.coalesce(hit, F.lit(""))))
 
     return F.array_join(F.zip_with(F.split(text, pattern, -1), matches(text, pattern), shown), "")
 
 
+def _replace_addresses(text: Column, pattern: str) -> Column:
+    return _replace_real(
+        text, pattern, lambda hit: F.rlike(F.right(hit, F.lit(1)), F.lit(r"(?U)\d")), "[ADDRESS]"
+    )
+
+
 def cleanse_address(text: Column) -> Column:
     once = F.when(
         F.rlike(text, F.lit(_ZIP_FULL)), _replace_addresses(text, _ADDRESS_FULL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veiltext import rules
@@ -27,10 +27,17 @@ def luhn_ok(card: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(card, r"(?U)[-\s]", ""))
 
 
+def is_address(hit: Column) -> Column:
+    """Whether a match of a `mail` pattern is an address, not a run that it skipped."""
+    return F.rlike(hit, F.lit(rules.ADDRESS))
+
+
 def found(text: Column, detector: Detector) -> Column:
     hits = matches(text, detector.search)
     if detector.luhn:
         hits = F.filter(hits, luhn_ok)
+    if detector.mail:
+        hits = F.filter(hits, is_address)
     return F.when(has_hint(text, detector), hits).otherwise(
         F.array().cast("array<string>")
     )
@@ -40,7 +47,8 @@ def bears_item(text: Column, detectors: Sequence[Detector]) -> Column:
     """Whether any detector finds something; stops at the first match."""
     tests = [
         has_hint(text, d) & (
-            F.exists(matches(text, d.search), luhn_ok) if d.luhn else F.rlike(text, F.lit(d.search))
+            F.exists(matches(text, d.search), luhn_ok if d.luhn else is_address)
+            if d.luhn or d.mail else F.rlike(text, F.lit(d.search))
         )
         for d in detectors
     ]
@@ -72,3 +80,15 @@ def is_person_name(text: Column) -> Column:
 def enabled_detectors(detectors: Sequence[Detector], names: Collection[str]) -> tuple[Detector, ...]:
     """The detectors switched on by name; their order, and so their rank, stays."""
     return tuple(d for d in detectors if d.entity in names)
+
+
+def detectors_of(table: DataFrame) -> tuple[Detector, ...]:
+    """Detectors from rows `name, rank, pattern, enabled`: those enabled, by rank and then name.
+
+    A row without a pattern means the built-in detector of that name; with one, it is the user's own
+    and takes the place of any built-in. The table is a short list of rules that shapes the query.
+    """
+    rows = table.filter(F.col("enabled")).orderBy("rank", "name").collect()
+    return tuple(
+        Detector(r["name"], r["pattern"], "(?s)^") if r["pattern"] else by_name(r["name"]) for r in rows
+    )

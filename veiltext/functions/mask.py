@@ -79,16 +79,21 @@ def value_items(text: Column, detectors: Sequence[Detector] = rules.VALUE_DETECT
     """
     def of(detector: Detector) -> Column:
         return F.transform(
-            found(text, detector),
+            F.array_distinct(found(text, detector)),
             lambda hit: F.struct(hit.alias("text"), F.lit(detector.entity).alias("type")),
         )
 
-    return F.array_distinct(F.concat(*[of(d) for d in detectors]))
+    return F.concat(*[of(d) for d in detectors])
 
 
-def value_spans(text: Column, detectors: Sequence[Detector] = rules.VALUE_DETECTORS) -> Column:
-    """All items with offsets in detector order, one per (start, end); blank text has none."""
-    spans = first_per_range(detect_ranked(text, detectors))
+def value_spans(text: Column, detectors: Sequence[Detector] = rules.VALUE_DETECTORS,
+                extra: Column | None = None) -> Column:
+    """All items with offsets in detector order, one per (start, end); blank text has none.
+
+    `extra` holds further spans of this text, of rank 0 (persons, places): they come first.
+    """
+    found = detect_ranked(text, detectors)
+    spans = first_per_range(found if extra is None else F.concat(extra, found))
     in_order = F.array_sort(
         spans, lambda a, b: F.when(
             F.struct(a["rank"], a["start"]) < F.struct(b["rank"], b["start"]), -1
@@ -99,8 +104,10 @@ def value_spans(text: Column, detectors: Sequence[Detector] = rules.VALUE_DETECT
 
 def distinct_items(spans: Column) -> Column:
     """Spans as the `(text, type)` items that `replace_values` takes."""
-    return F.array_distinct(F.transform(
-        spans, lambda s: F.struct(s["text"].alias("text"), s["entity"].alias("type"))
+    # Strings are told apart by hash, structs one by one.
+    both = F.array_distinct(F.transform(spans, lambda s: F.concat(s["entity"], F.lit("\n"), s["text"])))
+    return F.transform(both, lambda x: F.struct(
+        F.regexp_replace(x, r"^[^\n]*\n", "").alias("text"), F.substring_index(x, "\n", 1).alias("type")
     ))
 
 

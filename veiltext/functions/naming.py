@@ -123,3 +123,16 @@ def cleansed_name(name: Column, key: Column) -> Column:
         F.lit("_"),
         F.when(extension(name) == "xlsx", grid).otherwise(name),
     )
+
+
+def redacted_name(name: Column) -> Column:
+    """What the typed redactor writes for a stored file."""
+    return F.concat(F.lit("redacted_"), base_name(name))
+
+
+def analyzed_name(name: Column) -> Column:
+    return F.concat(F.lit("analyzed_"), before_first_dot(name), F.lit(".txt"))
+
+
+def model_analysis_name(name: Column) -> Column:
+    return F.concat(F.lit(rules.MODEL_ANALYSIS_PREFIX), before_first_dot(name), F.lit(".txt"))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veiltext import rules
-from veiltext.functions.detect import has_hint, luhn_ok, matches
+from veiltext.functions.detect import has_hint, is_address, luhn_ok, matches
 from veiltext.functions.text import let
 from veiltext.rules import Detector
 
@@ -103,11 +103,16 @@ def detect_ranked(text: Column, detectors: Sequence[Detector] = rules.SPAN_DETEC
         for i, d in enumerate(detectors)
     ])
 
+    mail = [d.entity for d in detectors if d.mail]
+
     def step(at: Column, pair: Column) -> tuple[Column, Column, Column]:
         begin = at + F.length(pair["gap"])
         end = begin + F.length(pair["hit"])
         span = ranked_span(begin, end, pair["rank"], pair["entity"], pair["hit"], "regex")
-        return F.coalesce(end, F.lit(0)), span, pair["hit"].isNotNull()
+        emit = pair["hit"].isNotNull()
+        if mail:
+            emit = emit & (~pair["entity"].isin(*mail) | is_address(pair["hit"]))
+        return F.coalesce(end, F.lit(0)), span, emit
 
     spans = scan(pairs, F.lit(0), RANKED, step)
     checked = [d.entity for d in detectors if d.luhn]
@@ -154,3 +159,26 @@ def public_spans(ranked: Column) -> Column:
             s["source"].alias("source"),
         ),
     )
+
+
+def ranked_per_doc(spans: DataFrame) -> DataFrame:
+    """Span rows (`doc_id, entity, text, start, end, source`) as one array per document, `_extra`.
+
+    They rank before every detector, so at the same place and length they win.
+    """
+    span = F.struct(
+        F.col("start").cast("int").alias("start"), (F.col("start") - F.col("end")).cast("int").alias("shorter"),
+        F.lit(0).alias("rank"), "entity", "text", F.col("end").cast("int").alias("end"), "source",
+    )
+    return spans.groupBy("doc_id").agg(F.collect_list(span).cast(RANKED).alias("_extra"))
+
+
+def with_extra(docs: DataFrame, spans: DataFrame | None) -> DataFrame:
+    """The rows with `_extra`: their document's further spans, from a name table or a model.
+
+    Without `spans` there are none, and nothing is joined.
+    """
+    if spans is None:
+        return docs.withColumn("_extra", empty_ranked())
+    joined = docs.join(ranked_per_doc(spans), "doc_id", "left")
+    return joined.withColumn("_extra", F.coalesce("_extra", empty_ranked()))

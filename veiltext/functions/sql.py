@@ -41,24 +41,30 @@ def _pairs(rank: int, d: rules.Detector) -> str:
 def _all_spans() -> str:
     """Positions are running sums over the split walk, one detector after the other."""
     pairs = ", ".join(_pairs(i, d) for i, d in enumerate(rules.SPAN_DETECTORS, 1))
+    mail = ", ".join(f"'{d.entity}'" for d in rules.SPAN_DETECTORS if d.mail)
     return f"""aggregate(concat({pairs}),
       named_struct('at', 0, 'out', cast(array() AS {_SPANS})),
       (acc, p) -> named_struct(
         'at', coalesce(acc.at + length(p.g) + length(p.h), 0),
-        'out', if(p.h IS NULL, acc.out, array_append(acc.out, named_struct(
+        'out', if(p.h IS NULL OR (p.entity IN ({mail}) AND NOT p.h RLIKE {_q(rules.ADDRESS)}), acc.out, array_append(acc.out, named_struct(
           'start', acc.at + length(p.g), 'shorter', -length(p.h), 'rank', p.rank,
           'entity', p.entity, 'text', p.h, 'end', acc.at + length(p.g) + length(p.h))))),
       acc -> acc.out)"""
 
 
-def _address(text: str, zip_code: str, pattern: str) -> str:
-    return f"""if({text} rlike {_q(zip_code)},
+def _real(text: str, test: str, pattern: str, real: str, tag: str) -> str:
+    """Replace the matches `h` that are real; the others are put back as they were."""
+    return f"""if({test},
       array_join(zip_with(split({text}, {_q(pattern)}, -1),
         regexp_extract_all({text}, {_q(pattern)}, 0),
-        (g, h) -> concat(g, if(right(h, 1) rlike '(?U)\\\\d', '[ADDRESS]', coalesce(h, '')))), ''),
+        (g, h) -> concat(g, if({real}, '{tag}', coalesce(h, '')))), ''),
       {text})"""
 
 
+def _address(text: str, zip_code: str, pattern: str) -> str:
+    return _real(text, f"{text} rlike {_q(zip_code)}", pattern, "right(h, 1) rlike '(?U)\\\\d'", "[ADDRESS]")
+
+
 def _replacing(text: str, *pairs: tuple[str, str]) -> str:
     for pattern, tag in pairs:
         text = f"regexp_replace({text}, {_q(pattern)}, '{tag}')"
@@ -86,8 +92,10 @@ def sql_definitions() -> list[str]:
       (acc, s) -> named_struct('pos', s.end,
         'out', concat(acc.out, substring(t, acc.pos + 1, s.start - acc.pos), {tag})),
       acc -> concat(acc.out, substring(t, acc.pos + 1)))"""
+    mail = _real("t", "contains(t, '@')", rules.swallowing(rules.CLEANSE_EMAIL),
+                 f"h rlike {_q(rules.ADDRESS)}", "[EMAIL]")
     head = _replacing(
-        "t", (rules.CLEANSE_EMAIL, "[EMAIL]"), (rules.CLEANSE_PHONE, "[PHONE]"),
+        mail, (rules.CLEANSE_PHONE, "[PHONE]"),
         (rules.CLEANSE_SSN, "[SSN]"), (rules.CLEANSE_CARD, "[CREDIT CARD]"),
         (rules.CLEANSE_IP, "[IP ADDRESS]"), (rules.CLEANSE_DATE, "[DATE]"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veiltext import rules
 from veiltext.functions.insight import keyword_findings, security_info, top_matches
 from veiltext.functions.mask import value_spans
-from veiltext.functions.spans import detect_ranked, public_spans, resolve_overlaps
+from veiltext.functions.spans import detect_ranked, public_spans, resolve_overlaps, with_extra
 
 
 def span_table(docs: DataFrame, text: str = "text", resolved: bool = False) -> DataFrame:
@@ -20,9 +20,17 @@ def span_table(docs: DataFrame, text: str = "text", resolved: bool = False) -> D
     return docs.select("doc_id", F.inline(spans))
 
 
-def item_table(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """One row per item of the value detectors, one per (start, end): `doc_id, ..., type, ...`."""
-    return docs.select("doc_id", *keep, F.explode(value_spans(F.col(text))).alias("s")).select(
+def item_table(docs: DataFrame, *keep: str, text: str = "text", extra: DataFrame | None = None) -> DataFrame:
+    """One row per item of the value detectors, one per (start, end): `doc_id, ..., type, ...`.
+
+    `extra` has further spans of the same texts; they take the place of equal ranges.
+    """
+    if extra is None:
+        items = value_spans(F.col(text))
+    else:
+        docs = with_extra(docs, extra)
+        items = value_spans(F.col(text), extra=F.col("_extra"))
+    return docs.select("doc_id", *keep, F.explode(items).alias("s")).select(
         "doc_id", *keep, F.col("s.entity").alias("type"), F.col("s.text").alias("text"),
         F.col("s.start").alias("start"), F.col("s.end").alias("end"),
     )

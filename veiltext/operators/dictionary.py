@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veiltext import rules
 from veiltext.functions.detect import is_person_name, matches
 from veiltext.functions.mask import mask_by_offset
-from veiltext.functions.spans import (
-    RANKED,
-    detect_ranked,
-    empty_ranked,
-    ranked_span,
-    resolve_overlaps,
-    scan,
-)
+from veiltext.functions.spans import detect_ranked, resolve_overlaps, scan, with_extra
 from veiltext.functions.text import normalize_text, strip
 
 WORD = r"[\p{L}\p{N}_]+"
-MARKS = ("'", "\u2019", "-")
+# First words of a table up to this many are tested inside the row, before words become rows.
+INLINE_WORDS = 4096
+
+
+def name_key(name: Column) -> Column:
+    return F.lower(F.regexp_replace(strip(name), r"(?U)\s+", " "))
+
+
+def name_keys(names: DataFrame) -> DataFrame:
+    """`key, first, core, lead, trail, words` of each name with a letter or digit.
+
+    `core` runs from the first word to the last, as it stands in the key; `lead` and `trail` are the
+    marks around it.
+    """
+    key = F.col("key")
+    split = F.split(key, WORD, -1)
+    keys = names.select(name_key(F.col("name")).alias("key")).filter(F.rlike(key, F.lit(WORD))).distinct()
+    return keys.select(
+        "key", F.regexp_extract("key", WORD, 0).alias("first"), F.get(split, F.lit(0)).alias("lead"),
+        F.element_at(split, -1).alias("trail"), (F.size(split) - 1).alias("words"),
+    ).withColumn("core", F.substr(
+        "key", F.length("lead") + 1, F.length("key") - F.length("lead") - F.length("trail")
+    ))
 
 
-def words_of(docs: DataFrame, text: str) -> DataFrame:
-    """One row per word: `doc_id, start`, the word, and the two words after it with what is between."""
-    hits, gaps, starts = F.col("_hits"), F.col("_gaps"), F.col("_starts")
+def words_of(docs: DataFrame, text: str, ahead: int, first: Collection[str] | None = None) -> DataFrame:
+    """One row per word: `doc_id, start, first`, and the words and gaps from there on.
+
+    `_words` has this word and up to `ahead` - 1 more, `_gaps` what stands before each of them and
+    after the last. `first` lists words in lower case; other words are no rows.
+    """
+    hits, gaps, starts = F.col("_hits"), F.col("_all_gaps"), F.col("_starts")
     sizes = F.zip_with(
         hits, gaps, lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"))
     )
@@ -33,63 +54,84 @@ def words_of(docs: DataFrame, text: str) -> DataFrame:
         begin = at + size["gap"]
         return begin + F.coalesce(size["hit"], F.lit(0)), begin, F.lit(True)
 
-    def near(word: Column, i: Column) -> Column:
-        return F.struct(
-            F.get(starts, i).alias("start"), word.alias("w1"),
-            F.get(gaps, i + 1).alias("g2"), F.get(hits, i + 1).alias("w2"),
-            F.get(gaps, i + 2).alias("g3"), F.get(hits, i + 2).alias("w3"),
-        )
-
+    found = F.transform(hits, lambda word, i: F.struct(i.alias("i"), F.lower(word).alias("first")))
+    if first is not None:
+        found = F.filter(found, lambda w: w["first"].isin(*first))
     return (
         docs.select(
             "doc_id", matches(F.col(text), WORD).alias("_hits"),
-            F.split(F.col(text), WORD, -1).alias("_gaps"),
+            F.split(F.col(text), WORD, -1).alias("_all_gaps"),
         )
+        .withColumn("_found", found).filter(F.size("_found") > 0)
         .withColumn("_starts", scan(sizes, F.lit(0), "array<int>", step))
-        .select("doc_id", F.inline(F.transform(hits, near)))
+        .select("doc_id", F.inline(F.transform("_found", lambda w: F.struct(
+            F.get(starts, w["i"]).alias("start"), w["first"].alias("first"),
+            F.slice(hits, w["i"] + 1, F.lit(ahead)).alias("_words"),
+            F.slice(gaps, w["i"] + 1, F.lit(ahead + 1)).alias("_gaps"),
+        ))))
     )
 
 
-def name_key(name: Column) -> Column:
-    return F.lower(F.regexp_replace(strip(name), r"(?U)\s+", " "))
-
-
-def _joint(gap: Column) -> Column:
-    """What may stand between two words of one name, as it stands in the key; else null."""
-    blank = F.rlike(gap, F.lit(r"(?U)^\s+$"))
-    return F.when((gap == " ") | blank, " ").when(gap.isin(*MARKS), gap)
-
-
 def dictionary_spans(docs: DataFrame, names: DataFrame, entity: str, source: str,
                      text: str = "text") -> DataFrame:
     """Spans of the table's names, any case: `doc_id, entity, text, start, end, source`.
 
-    Names have one to three words. Words that begin no name are dropped first; then runs of one to
-    three words meet the names in an equi-join on the lower-cased name. Spark broadcasts the table
-    while its size is under `spark.sql.autoBroadcastJoinThreshold` and shuffles beyond it.
+    A name may have any number of words, with anything between, before and after them; runs of
+    white space are the same as one blank. It matches whole words. A name without any letter or
+    digit matches nothing.
+
+    Only words that begin a name become rows: a small table of first words is tested inside the
+    row, a large one by a join. Each such word then runs as far as the longest name has words, and
+    runs meet the names in an equi-join. Spark broadcasts the names while their size is under
+    `spark.sql.autoBroadcastJoinThreshold` and shuffles beyond it. Building the query reads the
+    names once, for the longest and for the first words.
     """
-    keys = names.select(name_key(F.col("name")).alias("key")).filter(F.col("key") != "").distinct()
-    first = keys.select(F.regexp_extract("key", WORD, 0).alias("first")).distinct()
-    words = words_of(docs, text).withColumn("first", F.lower("w1")).join(first, "first", "left_semi")
-
-    def run(key: Column, *parts: str) -> Column:
-        value = F.concat(*parts)
-        return F.when(key.isNotNull(), F.struct(
-            value.alias("text"), (F.col("start") + F.length(value)).alias("end"), key.alias("key")
-        ))
-
-    one = F.col("first")
-    two = F.concat(one, _joint(F.col("g2")), F.lower("w2"))
-    three = F.concat(two, _joint(F.col("g3")), F.lower("w3"))
-    runs = F.array_compact(F.array(
-        run(one, "w1"), run(two, "w1", "g2", "w2"), run(three, "w1", "g2", "w2", "g3", "w3")
-    ))
-    return words.select("doc_id", "start", F.inline(runs)).join(keys, "key").select(
-        "doc_id", F.lit(entity).alias("entity"), "text", "start", "end",
-        F.lit(source).alias("source"),
+    keys = name_keys(names)
+    some = [r[0] for r in keys.select("first").distinct().limit(INLINE_WORDS + 1).collect()]
+    longest = keys.agg(F.max("words")).first()[0] or 1
+    if len(some) <= INLINE_WORDS:
+        words = words_of(docs, text, longest, some)
+    else:
+        words = words_of(docs, text, longest).join(keys.select("first").distinct(), "first", "left_semi")
+
+    hits, gaps = F.col("_words"), F.col("_gaps")
+    inner = F.concat(F.array(F.lit("")), F.slice(gaps, 2, F.greatest(F.size(hits) - 1, F.lit(0))))
+
+    def run(k: Column) -> Column:
+        raw = F.array_join(
+            F.zip_with(F.slice(inner, F.lit(1), k), F.slice(hits, F.lit(1), k), lambda g, w: F.concat(g, w)), ""
+        )
+        return F.struct(raw.alias("raw"), F.get(gaps, k).alias("after"))
+
+    runs = words.select(
+        "doc_id", "start", F.get(gaps, F.lit(0)).alias("before"),
+        F.inline(F.transform(F.sequence(F.lit(1), F.size(hits)), run)),
+    ).withColumn("core", _plain("raw"))
+    before = _marks("before", "lead", r"(?U)((?:\S\s*){%s})$")
+    after = _marks("after", "trail", r"(?U)^((?:\s*\S){%s})")
+    span = F.concat("_lead", "raw", "_trail")
+    start = F.col("start") - F.length("_lead")
+    return (
+        runs.join(keys, "core").withColumns({"_lead": before, "_trail": after})
+        .filter((_plain("_lead") == F.col("lead")) & (_plain("_trail") == F.col("trail")))
+        .select(
+            "doc_id", F.lit(entity).alias("entity"), span.alias("text"), start.alias("start"),
+            (start + F.length(span)).alias("end"), F.lit(source).alias("source"),
+        )
     )
 
 
+def _plain(text: str) -> Column:
+    return F.lower(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def _marks(gap: str, marks: str, pattern: str) -> Column:
+    """As many marks of a gap as the name has there, with the white space between them."""
+    count = F.length(F.regexp_replace(marks, r"(?U)\s", ""))
+    wanted = F.replace(F.lit(pattern), F.lit("%s"), count.cast("string"))
+    return F.when(count == 0, "").otherwise(F.call_function("regexp_extract", F.col(gap), wanted, F.lit(1)))
+
+
 def person_spans(docs: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
     return person_filter(dictionary_spans(docs, names, "PERSON", "names", text))
 
@@ -106,14 +148,9 @@ def location_spans(docs: DataFrame, places: DataFrame, text: str = "text") -> Da
 def mask_with_names(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Normalise, find persons and patterns, resolve and mask: `doc_id, entities, cleaned_text`."""
     clean = docs.select("doc_id", normalize_text(F.col("text")).alias("text"))
-    persons = person_spans(clean, names)
-    span = ranked_span(F.col("start"), F.col("end"), 0, F.col("entity"), F.col("text"), "names")
-    per_doc = persons.groupBy("doc_id").agg(F.collect_list(span).cast(RANKED).alias("_persons"))
-    resolved = resolve_overlaps(
-        F.concat(F.coalesce("_persons", empty_ranked()), detect_ranked(F.col("text"), rules.SPAN_DETECTORS))
-    )
+    resolved = resolve_overlaps(F.concat("_extra", detect_ranked(F.col("text"), rules.SPAN_DETECTORS)))
     return (
-        clean.join(per_doc, "doc_id", "left")
+        with_extra(clean, person_spans(clean, names))
         .withColumn("_spans", resolved)
         .select(
             "doc_id",

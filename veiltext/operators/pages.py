@@ -6,44 +6,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veiltext.functions.mask import distinct_items, replace_values, value_spans
+from veiltext.functions.spans import RANKED, empty_ranked
 
 # Keys that any occurrence of an entity's text must contain, whatever stands around it: the end of
-# an e-mail's local part with the start of its domain, or the last eight characters of a number.
+# an e-mail's local part with the start of its domain, the last eight characters of a number, or two
+# characters on either side of the first place inside where a word begins after another character.
 _MAIL_KEY = r"([A-Za-z0-9._%+-]{1,8}@[A-Za-z0-9.-]{2})"
 _NUMBER_KEY = r"(.{4}\d{4})"
+_WORD_KEY = r"(.\W\w.)"
 _FLAGS = "(?sU)"
 
 
 def _entity_key(text: Column) -> Column:
+    """An entity's key; empty if it is one short word, which has none."""
     mail = F.regexp_extract(text, _MAIL_KEY, 1)
-    return F.when(F.contains(text, F.lit("@")), mail).otherwise(F.right(text, F.lit(8)))
+    number = F.regexp_extract(text, f"{_FLAGS}{_NUMBER_KEY}$", 1)
+    word = F.regexp_extract(text, f"{_FLAGS}{_WORD_KEY}", 1)
+    return F.when(mail != "", mail).when(number != "", number).otherwise(word)
 
 
 def _page_keys(text: Column) -> Column:
-    mail = F.regexp_extract_all(text, F.lit(f"(?={_MAIL_KEY})"), F.lit(1))
-    number = F.regexp_extract_all(text, F.lit(f"{_FLAGS}(?={_NUMBER_KEY})"), F.lit(1))
-    return F.array_distinct(F.concat(mail, number))
+    """Every key that an entity on this page could have."""
+    keys = [
+        F.regexp_extract_all(text, F.lit(f"{flags}(?={key})"), F.lit(1))
+        for key, flags in ((_MAIL_KEY, ""), (_NUMBER_KEY, _FLAGS), (_WORD_KEY, _FLAGS))
+    ]
+    return F.array_distinct(F.concat(*keys))
 
 
 def mask_pages_doc_entities(pages: DataFrame, entities: DataFrame) -> DataFrame:
-    """Replace on each page every text found anywhere in the page's document.
+    """Replace on each page every text found anywhere in the page's document, whatever its type.
 
-    `entities` has `doc_id, entity, text, start`, from the e-mail and number detectors. Handing each
-    page its document's whole list would multiply pages by entities. Pages and entities meet on a
-    short key instead, so a page gets only texts that may occur on it, in order of first occurrence.
+    `entities` has `doc_id, entity, text, start`. Handing each page its document's whole list would
+    multiply pages by entities. Pages and entities meet on a short key instead, so a page gets only
+    texts that may occur on it, in order of first occurrence. A text without a key (a single word)
+    meets the pages of its document by a search for the text itself, inside the join.
     """
     first = (
-        entities.groupBy("doc_id", "text")
+        entities.filter(F.col("text") != "").groupBy("doc_id", "text")
         .agg(F.min(F.struct("start", "entity")).alias("f"))
         .select("doc_id", _entity_key(F.col("text")).alias("key"), "text",
                 F.col("f.start").alias("start"), F.col("f.entity").alias("type"))
     )
     keyed = pages.select("doc_id", "page_no", F.explode(_page_keys(F.col("text"))).alias("key"))
     item = F.struct("start", "text", "type")
-    hits = (
-        keyed.join(first, ["doc_id", "key"])
-        .groupBy("doc_id", "page_no")
-        .agg(F.array_sort(F.collect_set(item)).alias("items"))
+    by_key = keyed.join(first.filter("key <> ''"), ["doc_id", "key"]).select(
+        "doc_id", "page_no", item.alias("item")
+    )
+    single = first.filter("key = ''").select("doc_id", item.alias("item"))
+    by_text = pages.alias("p").join(
+        single.alias("e"),
+        (F.col("p.doc_id") == F.col("e.doc_id")) & F.contains(F.col("p.text"), F.col("e.item.text")),
+    ).select("p.doc_id", "p.page_no", "e.item")
+    hits = by_key.unionByName(by_text).groupBy("doc_id", "page_no").agg(
+        F.array_sort(F.collect_set("item")).alias("items")
     )
     items = F.coalesce("items", F.array().cast("array<struct<start:int,text:string,type:string>>"))
     return pages.join(hits, ["doc_id", "page_no"], "left").select(
@@ -51,9 +67,21 @@ def mask_pages_doc_entities(pages: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def mask_pages_own_entities(pages: DataFrame) -> DataFrame:
-    """Replace on each page what is found on it; `redacted` counts the items."""
-    return pages.withColumn("_items", value_spans(F.col("text"))).select(
+def mask_pages_own_entities(pages: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """Replace on each page what is found on it; `redacted` counts the items.
+
+    `extra` has further spans of the pages, with `page_no` beside `doc_id`.
+    """
+    items = value_spans(F.col("text"))
+    if extra is not None:
+        per_page = extra.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct(
+            F.col("start").cast("int").alias("start"),
+            (F.col("start") - F.col("end")).cast("int").alias("shorter"), F.lit(0).alias("rank"), "entity",
+            "text", F.col("end").cast("int").alias("end"), "source",
+        )).cast(RANKED).alias("_extra"))
+        pages = pages.join(per_page, ["doc_id", "page_no"], "left")
+        items = value_spans(F.col("text"), extra=F.coalesce("_extra", empty_ranked()))
+    return pages.withColumn("_items", items).select(
         "doc_id", "page_no",
         replace_values(F.col("text"), distinct_items(F.col("_items"))).alias("masked"),
         F.size("_items").alias("redacted"),

@@ -16,9 +16,14 @@ from veiltext.functions.text import is_blank, strip
 
 def mask_table_strings(df: DataFrame, file_name: Column | None = None,
                        skip: Sequence[str] = ()) -> DataFrame:
-    """Run the cleanse chain over the string columns; other columns and nulls stay."""
-    return df.select(*[
-        cleanse_text(F.col(f.name), file_name).alias(f.name)
+    """Run the cleanse chain over the string columns; other columns and nulls stay.
+
+    The name gets a column of its own first: by its old name, Spark would find the cleansed one.
+    """
+    named = df if file_name is None else df.withColumn("_file_name", file_name)
+    name = None if file_name is None else F.col("_file_name")
+    return named.select(*[
+        cleanse_text(F.col(f.name), name).alias(f.name)
         if isinstance(f.dataType, T.StringType) and f.name not in skip
         else F.col(f.name)
         for f in df.schema.fields

@@ -16,7 +16,7 @@ from veiltext.functions.mask import mask_by_value, mask_cell_by_value, mask_text
 from veiltext.functions.text import is_blank, normalize_text, preview, split_sentences
 from veiltext.operators import assemble, counts, dictionary, ocr, pages, tables
 from veiltext.operators.documents import artifacts, report_rows
-from veiltext.operators.responses import join_responses
+from veiltext.operators.responses import join_responses, join_security_responses
 from veiltext.plans.tables import Tables
 from veiltext.session import shared_folder
 from veiltext.sources import files as sources
@@ -54,7 +54,10 @@ def masked_docs(t: Tables) -> DataFrame:
 # --- sources and sinks ------------------------------------------------------------------------
 @query("file_inventory")
 def _(t: Tables) -> DataFrame:
-    """Notes written as text and as JSON files; only the text files are of a supported type."""
+    """Notes written as text and as JSON files; only the text files are of a supported type.
+
+    How many files there are depends on the writer, so they are summed.
+    """
     folder = shared_folder(t.spark)
     t.notes().select("text").write.text(f"{folder}/deep/text")
     t.notes().select("doc_id", "text").write.json(f"{folder}/deep/json")
@@ -77,16 +80,17 @@ def _(t: Tables) -> DataFrame:
 
 @query("read_csv_docs")
 def _(t: Tables) -> DataFrame:
+    """Whole texts, with quotes and line ends of all kinds in them."""
     folder = shared_folder(t.spark)
-    sinks.write_masked_csv(t.notes().select("doc_id", "file_name"), folder)
-    return sources.read_csv_docs(t.spark, folder)
+    sinks.write_masked_csv(t.corpus(), folder)
+    return sources.read_csv_docs(t.spark, folder, multi_line=True)
 
 
 @query("write_clean_text")
 def _(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark)
     sinks.write_clean_text(artifacts(t.corpus()), folder)
-    return t.spark.read.parquet(folder).select("doc_id", "file_name", "cleaned_text")
+    return t.spark.read.parquet(folder)
 
 
 @query("write_report_json")
@@ -102,17 +106,21 @@ def _(t: Tables) -> DataFrame:
 
 @query("write_masked_csv")
 def _(t: Tables) -> DataFrame:
+    """All columns of the grid: nulls, blank cells, and blanks around values stay as they were."""
     folder = shared_folder(t.spark)
-    sinks.write_masked_csv(tables.mask_table_all(t.grid().select("doc_id", "file_name", "contact")),
-                           folder)
-    return sources.read_csv_docs(t.spark, folder)
+    sinks.write_masked_csv(tables.mask_table_all(t.grid()), folder)
+    return sources.read_csv_docs(t.spark, folder, multi_line=True)
 
 
 @query("manifest")
 def _(t: Tables) -> DataFrame:
-    return sinks.manifest(
-        t.files().withColumn("error", sinks.directory_error(F.col("file_name")))
+    """Some files fail the typed redactor, and some of those the basic chain too."""
+    doc = F.col("doc_id")
+    typed = F.when(doc % 11 == 0, "Failed to cleanse file").otherwise(
+        sinks.directory_error(F.col("file_name"))
     )
+    basic = F.when(doc % 22 == 0, "Error cleansing file: unreadable")
+    return sinks.manifest(t.files().withColumns({"typed_error": typed, "error": basic}))
 
 
 # --- filters, routing, projections ------------------------------------------------------------
@@ -161,6 +169,8 @@ def _(t: Tables) -> DataFrame:
         "doc_id", naming.masked_name(name, key).alias("masked"),
         naming.raw_text_name(name).alias("raw"), naming.clean_text_name(name).alias("clean"),
         naming.report_name(name).alias("report"), naming.metadata_name(name).alias("metadata"),
+        naming.redacted_name(name).alias("redacted"), naming.analyzed_name(name).alias("analyzed"),
+        naming.model_analysis_name(name).alias("model"),
     )
 
 
@@ -234,6 +244,12 @@ def _(t: Tables) -> DataFrame:
     return counts.item_table(t.corpus())
 
 
+@query("dedup_exact_span_names")
+def _(t: Tables) -> DataFrame:
+    """Items of the detectors and of the name table."""
+    return counts.item_table(t.corpus(), extra=dictionary.person_spans(t.corpus(), t.names()))
+
+
 @query("entity_counts_by_doc")
 def _(t: Tables) -> DataFrame:
     return counts.entity_counts_by_doc(
@@ -266,7 +282,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("mask_table_strings")
 def _(t: Tables) -> DataFrame:
-    return tables.mask_table_strings(t.grid(), F.col("file_name"), skip=("file_name",))
+    return tables.mask_table_strings(t.grid(), F.col("file_name"))
 
 
 @query("mask_table_all")
@@ -281,7 +297,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("mask_paragraphs")
 def _(t: Tables) -> DataFrame:
-    return tables.mask_paragraphs(t.note_units(), F.lit("Zenith.docx"))
+    """Each document with the name of its own file."""
+    units = t.note_units().join(t.notes().select("doc_id", "file_name"), "doc_id")
+    return tables.mask_paragraphs(units, F.col("file_name")).drop("file_name")
 
 
 @query("mask_slide_units")
@@ -294,8 +312,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("mask_pages_doc_entities")
 def _(t: Tables) -> DataFrame:
-    notes = t.notes().withColumn("text", normalize_text(F.col("text")))
-    return pages.mask_pages_doc_entities(t.note_pages(), counts.span_table(notes, resolved=True))
+    """Entities of all kinds: patterns, names, and addresses of machines."""
+    clean = clean_docs(t)
+    found = counts.span_table(clean, resolved=True).unionByName(
+        dictionary.person_spans(clean, t.names())
+    ).select("doc_id", "entity", "text", "start")
+    machines = counts.item_table(clean).filter("type = 'IP_ADDRESS'")
+    return pages.mask_pages_doc_entities(t.note_pages(), found.unionByName(
+        machines.select("doc_id", F.col("type").alias("entity"), "text", "start")
+    ))
 
 
 @query("mask_pages_own_entities")
@@ -352,6 +377,11 @@ def _(t: Tables) -> DataFrame:
     return ocr.pick_ngrams(ocr.ngrams(ocr.confident_words(t.ocr_words())))
 
 
+@query("ocr_picked_counts")
+def _(t: Tables) -> DataFrame:
+    return ocr.picked_counts(ocr.pick_ngrams(ocr.ngrams(ocr.confident_words(t.ocr_words()))))
+
+
 @query("ocr_redaction_boxes")
 def _(t: Tables) -> DataFrame:
     return ocr.redaction_boxes(ocr.pick_ngrams(ocr.ngrams(ocr.confident_words(t.ocr_words()))))
@@ -447,6 +477,13 @@ def _(t: Tables) -> DataFrame:
     return report_rows(t.corpus()).withColumn("key_findings", joined(F.col("key_findings")))
 
 
+@query("report_rows_names")
+def _(t: Tables) -> DataFrame:
+    """Reports in which persons from the name table are masked too."""
+    rows = report_rows(t.corpus(), dictionary.person_spans(clean_docs(t), t.names()))
+    return rows.withColumn("key_findings", joined(F.col("key_findings")))
+
+
 @query("finding_counts")
 def _(t: Tables) -> DataFrame:
     return counts.finding_counts(masked_docs(t))
@@ -527,6 +564,11 @@ def _items(t: Tables) -> DataFrame:
     return counts.item_table(docs, "source")
 
 
+@query("llm_join_security_responses")
+def _(t: Tables) -> DataFrame:
+    return join_security_responses(t.corpus(), t.responses())
+
+
 @query("redactions_by_type")
 def _(t: Tables) -> DataFrame:
     return counts.redactions_by_type(_items(t))
@@ -591,7 +633,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     stream, folder = _landed(t)
     live.start_counters(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out")
+    return live.latest_counts(t.spark, f"{folder}/out")
 
 
 # --- SQL functions ----------------------------------------------------------------------------
@@ -614,8 +656,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("detector_switches")
 def _(t: Tables) -> DataFrame:
-    """Only the detectors switched on in a rule table: here e-mail and identity numbers."""
-    enabled = detect.enabled_detectors(rules.SPAN_DETECTORS, {"EMAIL", "SSN"})
+    """The detectors switched on in a rule table: e-mail, identity numbers, and a pattern of its own."""
+    table = t.spark.sql(
+        "select * from values ('EMAIL', 1, null, true), ('PHONE', 2, null, false), "
+        "('SSN', 3, null, true), ('TICKET', 4, 'Ticket [0-9]+', true), ('NOTE', 5, 'quiet', false) "
+        "as t(name, rank, pattern, enabled)"
+    )
+    enabled = detect.detectors_of(table)
     return t.corpus().select("doc_id", mask_text(F.col("text"), enabled).alias("masked"))
 
 

@@ -84,7 +84,7 @@ def _kept(spans: str) -> tuple[str, str]:
 def _masked(docs: str, kept: str) -> str:
     tag = "case k.entity " + " ".join(
         f"when '{e}' then '{t}'" for e, t in rules.TAGS.items()
-    ) + " end"
+    ) + " else '[REDACTED_' || k.entity || ']' end"
     return f"""
       select d.doc_id, d.file_name,
         case when b.doc_id is null then d.text else b.body || substr(d.text, b.edge + 1) end as text,
@@ -285,7 +285,7 @@ def _tables() -> dict[str, str]:
       select doc_id, i as page_no, parts[i] as text
       from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from (
         select doc_id, regexp_split_to_array(
-          regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as parts from notes))
+          regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as parts from corpus))
       where parts[i] <> ''"""
     t["ocr_words"] = """
       select doc_id as image_id, i - 1 as word_no, w[i] as text,
@@ -344,7 +344,7 @@ def _tables() -> dict[str, str]:
     t["note_units"] = (
         "select doc_id, case when page_no % 2 = 0 then 'cell' else 'paragraph' end as unit_kind, "
         "page_no as unit_no, case when (doc_id + page_no) % 10 = 0 then ' Time In ' else text end "
-        "as text from note_pages"
+        "as text from note_pages where doc_id >= 0"
     )
     t["wide"] = notes_sql(", o_custkey, o_orderkey, o_orderpriority").replace("{orders}", "orders")
     t["cells"] = """
@@ -399,8 +399,19 @@ def _tables() -> dict[str, str]:
         "from customer join nation on c_nationkey = n_nationkey "
         "join region on n_regionkey = r_regionkey"
     )
+    t["named_found"] = f"select doc_id, {_keyword_findings('text')} as base, text from named_masked"
+    t["named_filled"] = f"select doc_id, {_key_findings('base', 'text')} as f from named_found"
+    t["named_reports"] = (
+        "select d.doc_id, d.file_name, lower(string_split(d.file_name, '.')[-1]) as file_type, "
+        f"{_description('d.text')} as file_description, "
+        f"array_to_string({_padded('f')}, ' | ') as key_findings "
+        "from named_masked d join named_filled using (doc_id)"
+    )
     t["enabled_spans"] = _spans(
-        "norm", tuple(d for d in rules.SPAN_DETECTORS if d.entity in ("EMAIL", "SSN"))
+        "norm", (
+            *(d for d in rules.SPAN_DETECTORS if d.entity in ("EMAIL", "SSN")),
+            rules.Detector("TICKET", "Ticket [0-9]+", ""),
+        )
     )
     t["enabled_order"], _ = _kept("enabled_spans")
     t["enabled_kept"] = recursion.format(o="enabled_order", r="enabled_kept")
@@ -411,6 +422,7 @@ def _tables() -> dict[str, str]:
     )
     t["cell_items"] = _items("stripped_cells", "doc_id, \"row\", col_no")
     t["cell_masked"] = _by_value("stripped_cells", "cell_items", "doc_id, \"row\", col_no", ", t.sheet")
+    t["norm_items"] = _items("norm")
     t["page_items"] = _items("note_pages", "doc_id, page_no")
     t["page_masked"] = _by_value("note_pages", "page_items", "doc_id, page_no")
     t["unit_rows"] = (
@@ -436,17 +448,22 @@ def _tables() -> dict[str, str]:
     t["cell_kept"] = recursion.format(o="cell_order", r="cell_kept")
     t["cell_span_masked"] = _masked("cell_rows", "cell_kept")
     t["page_entities"] = (
-        "select doc_id, hit, min(s) as s, min_by(entity, s) as entity from kept "
-        "where keep and doc_id >= 0 group by doc_id, hit"
+        "select doc_id, hit, min(s) as s, min_by(entity, s) as entity from ("
+        "select doc_id, hit, s, entity from kept where keep union all "
+        "select doc_id, hit, s, entity from real_norm_persons union all "
+        "select doc_id, hit, s, entity from norm_items where entity = 'IP_ADDRESS') "
+        "group by doc_id, hit"
     )
     return t
 
 
 def _name_spans(docs: str) -> str:
-    """Each listed name as a whole-word pattern of its own."""
-    patterns = tuple(
-        rules.Detector("PERSON", r"(?i)\b" + name.replace(" ", r"\s+") + r"\b", "") for name in NAMES
-    )
+    """Each listed name as a whole-word pattern of its own; a mark at its end needs no word's end."""
+    def pattern(name: str) -> str:
+        body = r"\s+".join(re.escape(word) for word in name.split())
+        return "(?i)" + r"\b" * name[0].isalnum() + body + r"\b" * name[-1].isalnum()
+
+    patterns = tuple(rules.Detector("PERSON", pattern(name), "") for name in NAMES)
     return _spans(docs, patterns)
 
 
@@ -506,22 +523,31 @@ def _selects() -> dict[str, str]:
     q: dict[str, str] = {
         "file_inventory": "select 'txt' as ext, true as found, sum(strlen(text) + 1)::bigint as bytes from notes",
         "read_text_docs": "select doc_id, text from documents",
-        "read_csv_docs": "select cast(doc_id as varchar) as doc_id, file_name from notes",
-        "write_clean_text": "select doc_id, file_name, text as cleaned_text from masked",
+        "read_csv_docs": "select cast(doc_id as varchar) as doc_id, file_name, text from corpus",
+        "write_clean_text": (
+            "select doc_id, m.file_name, c.text as raw_text, m.text as cleaned_text "
+            "from masked m join corpus c using (doc_id)"
+        ),
         "write_report_json": "select * from reports",
         "write_masked_csv": (
-            "select cast(doc_id as varchar) as doc_id, file_name, '[EMAIL_ADDRESS]' as contact from grid"
+            "select cast(g.doc_id as varchar) as doc_id, g.file_name, "
+            "case when m.n > 0 then m.masked else g.note end as note, g.label, "
+            "'[EMAIL_ADDRESS]' as contact from grid g left join cell_masked m "
+            "on m.\"row\" = g.doc_id and m.col_no = 1"
         ),
+        # An upload: the typed redactor, then the basic chain, then a copy.
         "manifest": (
-            "select doc_id, file_name as original_filename, "
-            "case when status = 'cleansed' then 'cleansed_' || id || '_' || "
-            "case when x = 'xlsx' then string_split(file_name, '.')[1] || '.csv' else file_name end "
+            "select doc_id, file_name as original_filename, case "
+            "when status <> 'cleansed' then 'cleansed_' || id || '_' || file_name "
+            "when not typed_failed then 'redacted_' || id || '_' || file_name "
+            "when x = 'xlsx' then 'cleansed_' || id || '_' || string_split(file_name, '.')[1] || '.csv' "
             "else 'cleansed_' || id || '_' || file_name end as cleansed_filename, "
             "'metadata_' || id || '_' || string_split(file_name, '.')[1] || '.txt' as metadata_filename, "
-            "x as file_type, error, status from (select *, case when error is not null then 'failed' "
-            "when x = 'pptx' then 'copied' else 'cleansed' end as status from (select *, "
-            "left(sha256(cast(doc_id as varchar)), 32) as id, case when z in ('.v2.txt', '.docx') "
-            "then 'Unsupported format: ' || z end as error from files))"
+            "x as file_type, case when status = 'failed' then 'Error cleansing file: unreadable' end as error, "
+            "status from (select *, case when x = 'pptx' then 'copied' "
+            "when typed_failed and doc_id % 22 = 0 then 'failed' else 'cleansed' end as status "
+            "from (select *, left(sha256(cast(doc_id as varchar)), 32) as id, "
+            "doc_id % 11 = 0 or z in ('.v2.txt', '.docx') as typed_failed from files))"
         ),
         "allowed_files": (
             "select doc_id, file_name, x in ('pdf','png','jpg','jpeg','pptx','xlsx','txt') "
@@ -539,7 +565,10 @@ def _selects() -> dict[str, str]:
             "select doc_id, 'masked_' || left(sha256(cast(doc_id as varchar)), 32) || '_' || file_name "
             "as masked, stem || '_raw.txt' as raw, stem || '_clean.txt' as clean, "
             "stem || '_report.json' as report, "
-            "'metadata_' || string_split(file_name, '.')[1] || '.txt' as metadata from files"
+            "'metadata_' || string_split(file_name, '.')[1] || '.txt' as metadata, "
+            "'redacted_' || file_name as redacted, "
+            "'analyzed_' || string_split(file_name, '.')[1] || '.txt' as analyzed, "
+            "'gemini_analysis_' || string_split(file_name, '.')[1] || '.txt' as model from files"
         ),
         "blank_filter": "select doc_id, label from grid where coalesce(trim(note), '') <> ''",
         "structural_label": (
@@ -579,7 +608,8 @@ def _selects() -> dict[str, str]:
             "select doc_id, cast(entities as int) as entities, text as cleaned_text from named_masked"
         ),
         "mask_table_strings": (
-            f"select doc_id, file_name, {_chain('note', 'file_name')} as note, "
+            f"select doc_id, {_chain('file_name', 'file_name')} as file_name, "
+            f"{_chain('note', 'file_name')} as note, "
             f"{_chain('label', 'file_name')} as label, {_chain('contact', 'file_name')} as contact from grid"
         ),
         "mask_table_all": (
@@ -594,7 +624,8 @@ def _selects() -> dict[str, str]:
         ),
         "mask_paragraphs": (
             "select *, text <> masked as changed from (select doc_id, unit_kind, unit_no, text, "
-            f"{_chain('text', _q('Zenith.docx'))} as masked from note_units)"
+            f"{_chain('text', 'file_name')} as masked from (select u.*, n.file_name "
+            "from note_units u join notes n using (doc_id)))"
         ),
         "mask_slide_units": (
             "select u.d as doc_id, u.unit_no, s.text as by_span, "
@@ -605,7 +636,7 @@ def _selects() -> dict[str, str]:
             "select p.doc_id, p.page_no, case when l.items is null then p.text else "
             "list_reduce(l.items, lambda a, x: replace(a, split_part(x, chr(1), 1), "
             "'[' || split_part(x, chr(1), 2) || ']'), p.text) end as masked "
-            "from note_pages p left join (select doc_id, list(hit || chr(1) || entity order by s) "
+            "from note_pages p left join (select doc_id, list(hit || chr(1) || entity order by s, hit) "
             "as items from page_entities group by doc_id) l using (doc_id)"
         ),
         "mask_pages_own_entities": (
@@ -620,6 +651,11 @@ def _selects() -> dict[str, str]:
         "ocr_ngrams": "select image_id, word_no, n, text from grams",
         "ocr_bbox_union": "select image_id, word_no, n, x, y, w, h from grams",
         "ocr_pick_ngrams": "select * from picked",
+        "ocr_picked_counts": (
+            "select 'redacted' as counter, count(*) as items from picked union all "
+            "select lower(entity) || '_redacted', count(*) from ("
+            + _items("picked", "image_id, word_no, n") + ") group by 1"
+        ),
         "ocr_redaction_boxes": (
             "select image_id, word_no, n, x - 5 as x0, y - 5 as y0, x + w + 5 as x1, y + h + 5 as y1 "
             "from picked"
@@ -673,6 +709,13 @@ def _selects() -> dict[str, str]:
         "keyword_findings": "select doc_id, array_to_string(base, ' | ') as findings from found",
         "key_findings": f"select doc_id, array_to_string({_padded('f')}, ' | ') as findings from filled",
         "report_rows": "select * from reports",
+        "report_rows_names": "select * from named_reports",
+        "dedup_exact_span_names": (
+            f"select doc_id, entity as type, hit as text, {span_cols} from (select *, row_number() over "
+            "(partition by doc_id, s, e order by rk) as nth from (select doc_id, 0 as rk, "
+            "'PERSON' as entity, s, e, hit from real_persons union all "
+            "select doc_id, rk, entity, s, e, hit from items)) where nth = 1"
+        ),
         "finding_counts": (
             "select finding, count(*) as docs from (select unnest(base) as finding from found) group by 1"
         ),
@@ -722,6 +765,12 @@ def _selects() -> dict[str, str]:
             "cast(length(d.text) as int) as content_length "
             "from corpus d left join responses r using (doc_id)"
         ),
+        "llm_join_security_responses": (
+            "select d.doc_id, r.doc_id is not null as success, case when r.doc_id is not null then "
+            f"case when r.response = '' then {_q(rules.NO_SECURITY_ANALYSIS)} else r.response end end "
+            "as security_analysis, case when r.doc_id is null then 'No response' end as error "
+            "from corpus d left join responses r using (doc_id)"
+        ),
         "redactions_by_type": (
             "select lower(entity) || '_redacted' as counter, count(*) as items from items group by 1"
         ),
@@ -746,7 +795,9 @@ def _selects() -> dict[str, str]:
             "select x as source, entity as type, count(*) as items from items join files using (doc_id) "
             "group by rollup (x, entity)"
         ),
-        "stream_cleanse": "select doc_id, file_name, text as cleaned_text from masked",
+        "stream_cleanse": (
+            "select doc_id, file_name, text as cleaned_text, 'cleansed' as status from masked"
+        ),
         "stream_counters": "select entity as type, count(*) as items from items group by 1",
         "sql_functions": (
             "select doc_id, n.text as normal, m.text as masked, c.text as cleansed from norm n "

@@ -15,8 +15,10 @@ select o_orderkey as doc_id,
     when 2 then 'xlsx' when 3 then 'PPTX' when 4 then 'docx' else 'v2.txt' end) as file_name,
   concat(
     'Ticket ', o_orderkey, ' for zenith', o_custkey % 50, '  opened', chr(9), 'by ',
-    case o_custkey % 4 when 0 then 'Ada Lovelace' when 1 then 'Grace Hopper'
-      when 2 then 'Alan Turing' else 'Time In' end, '.', chr(13), chr(10),
+    case o_custkey % 9 when 0 then 'Ada Lovelace' when 1 then 'Grace Hopper'
+      when 2 then 'Alan Turing' when 3 then concat('Maria', chr(9), 'del  CARMEN Lopez y Vega')
+      when 4 then 'J. R. Smith' when 5 then concat(chr(39), 'Abd al-Rahman')
+      when 6 then 'Jean-Luc O''Neil, Jr.' when 7 then 'Adam Lovelace' else 'Time In' end, '.', chr(13), chr(10),
     'Write to user', o_custkey, '@mail', o_custkey % 7, '.example.com or call +1 (',
     200 + o_custkey % 800, ') 555-', lpad(cast(o_orderkey % 10000 as string), 4, '0'), '.',
     chr(10), chr(10), chr(10),
@@ -47,7 +49,11 @@ select o_orderkey as doc_id,
       when 1 then 'Ok.' else '' end) as text{extra}
 from {orders}
 """
-NAMES = ("Ada Lovelace", "Grace Hopper", "Alan Turing", "Time In", "Cadence")
+NAMES = (
+    "Ada", "Ada Lovelace", "Grace Hopper", "Alan  Turing", "Time In", "Cadence",
+    "Maria del Carmen Lopez y Vega", "del Carmen Lopez", "J. R. Smith", "'Abd al-Rahman",
+    "Jean-Luc O'Neil, Jr.", "Lovelace,",
+)
 
 
 def notes_sql(extra: str = "") -> str:
@@ -85,10 +91,10 @@ class Tables:
         )
 
     def note_pages(self) -> DataFrame:
-        """Notes cut into pages at sentence ends."""
+        """Notes and documents cut into pages at sentence ends."""
         pieces = F.split(F.col("text"), r"(?<=[.!?])\s+")
         return (
-            self.notes().select("doc_id", F.posexplode(pieces).alias("pos", "text"))
+            self.corpus().select("doc_id", F.posexplode(pieces).alias("pos", "text"))
             .filter(F.col("text") != "")
             .select("doc_id", (F.col("pos") + 1).cast("bigint").alias("page_no"), "text")
         )
@@ -121,7 +127,7 @@ class Tables:
         """Pages of notes as slide units: even ones are cells, and every tenth is only a label."""
         no = F.col("page_no")
         label = F.when((F.col("doc_id") + no) % 10 == 0, " Time In ").otherwise(F.col("text"))
-        return self.note_pages().select(
+        return self.note_pages().filter("doc_id >= 0").select(
             "doc_id", F.when(no % 2 == 0, "cell").otherwise("paragraph").alias("unit_kind"),
             no.alias("unit_no"), label.alias("text"),
         )
@@ -161,8 +167,7 @@ class Tables:
         )
 
     def names(self) -> DataFrame:
-        rows = ", ".join(f"('{n}')" for n in NAMES)
-        return self.spark.sql(f"select name from values {rows} as t(name)")
+        return self.spark.createDataFrame([(n,) for n in NAMES], "name string")
 
     def places(self) -> DataFrame:
         return self.read("nation").select(F.col("n_name").alias("name")).unionByName(

@@ -27,6 +27,20 @@ def ahead(first: str, pattern: str) -> str:
     return f"{flags}(?={first}){rest}"
 
 
+def swallowing(mail: str) -> str:
+    """An e-mail pattern that takes linear time on long runs of an address's characters.
+
+    Where no address begins at a run's first word boundary, none begins at a later one: the same
+    sign and domain would follow. So a run of 64 and more is then matched as a whole, with the sign
+    behind it, and skipped; `rules.ADDRESS` tells such a match from an address.
+    """
+    return mail.removesuffix(r"\b").replace(r"\b", r"\b(?:", 1) + r"\b|[A-Za-z0-9._%+-]{64}[A-Za-z0-9._%+-]*+@?)"
+
+
+# An address has something behind its sign; a skipped run has not.
+ADDRESS = "@."
+
+
 class Detector(NamedTuple):
     """One kind of finding.
 
@@ -39,9 +53,13 @@ class Detector(NamedTuple):
     hint: str
     first: str = ""
     luhn: bool = False
+    mail: bool = False
 
     @property
     def search(self) -> str:
+        """The pattern to search a text with; `mail` ones also find runs that are no address."""
+        if self.mail:
+            return swallowing(self.pattern)
         return ahead(self.first, self.pattern) if self.first else self.pattern
 
 
@@ -61,14 +79,14 @@ CARD = r"(?U)\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b"
 DATE = r"(?U)\b\d{1,2}[\/\-]\d{1,2}[\/\-]\d{2,4}\b"
 
 SPAN_DETECTORS = (
-    Detector("EMAIL", EMAIL, "@", ""),
+    Detector("EMAIL", EMAIL, "@", "", mail=True),
     Detector("PHONE", PHONE, r"(?U)\d{4}", r"[+(\d]"),
     Detector("AADHAAR", AADHAAR, r"(?U)\d{4}", r"\d"),
     Detector("SSN", SSN, r"(?U)\d{4}", r"\d"),
 )
 VALUE_DETECTORS = (
     Detector("IP_ADDRESS", IP_URL, r"[0-9]\.[0-9]", "[rhf0-9]"),
-    Detector("EMAIL_ADDRESS", EMAIL, "@", ""),
+    Detector("EMAIL_ADDRESS", EMAIL, "@", "", mail=True),
     Detector("PHONE_NUMBER", PHONE, r"(?U)\d{4}", r"[+(\d]"),
     Detector("CREDIT_CARD", CARD, r"(?U)\d{4}", r"\d", luhn=True),
     Detector("DATE_TIME", DATE, r"(?U)\d[/-]\d", r"\d"),
@@ -103,6 +121,8 @@ DIRECTORY_TYPES = (
     "png", "jpg", "jpeg", "bmp", "tiff", "pdf", "xlsx", "xls", "pptx", "txt", "csv",
 )
 IMAGE_TYPES = ("png", "jpg", "jpeg")
+# The start of the name of a file that holds a model's analysis (a fixed value).
+MODEL_ANALYSIS_PREFIX = "gemini_analysis_"
 SIZE_LIMIT = 16 * 1024 * 1024
 
 # --- ordered cleanse chain --------------------------------------------------------------------
@@ -265,3 +285,5 @@ SECURITY_PROMPT = """
 
             Focus specifically on security and data protection aspects.
             """
+
+NO_SECURITY_ANALYSIS = "No security analysis available"

@@ -50,6 +50,13 @@ def read_text_docs(spark: SparkSession, path: str, strict: bool = False) -> Data
     return files.select("path", *keys, text.alias("text"))
 
 
-def read_csv_docs(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV grid with a header, all columns as strings."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+def read_csv_docs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV grid with a header, all columns as strings, values as they stand.
+
+    `multi_line` is for files with line ends inside quotes; each such file is read by one task, so
+    files should be of a bounded size. Without it, files are split.
+    """
+    return spark.read.csv(
+        path, header=True, inferSchema=False, multiLine=multi_line, escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )

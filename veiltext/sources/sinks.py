@@ -11,6 +11,7 @@ from veiltext.functions.naming import (
     extension,
     is_allowed,
     metadata_name,
+    redacted_name,
     route_upload,
     safe_filename,
     stable_id,
@@ -30,32 +31,36 @@ def write_report_json(reports: DataFrame, path: str) -> None:
 
 
 def write_masked_csv(grid: DataFrame, path: str) -> None:
-    """A masked grid with its header and no index."""
-    grid.write.mode("overwrite").csv(path, header=True, escape='"')
+    """A masked grid with its header and no index. Values keep blanks around them; a null cell is
+    nothing, an empty one a pair of quotes (which readers, Spark's too, mostly take for a null)."""
+    grid.write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """One row per accepted file; `files` has `doc_id, file_name, error`.
+    """One row per accepted file; `files` has `doc_id, file_name, typed_error, error`.
 
-    A file that could not be cleansed is copied as it is, and says so: `status` is `cleansed`,
-    `copied` (no handler for the type) or `failed` (the handler gave an error).
+    The typed redactor comes first. If it fails (`typed_error`), which it does for suffixes that it
+    doesn't know, the basic chain has its turn, and only its `error` fails the file. A file that
+    could not be cleansed is copied as it is, and says so: `status` is `cleansed`, `copied` (no
+    handler for the type) or `failed`. Only the basic chain turns a workbook into CSV.
     """
     safe = safe_filename(F.col("file_name"))
     stored = F.concat(stable_id(F.col("doc_id")), F.lit("_"), safe)
-    copied = F.concat(F.lit("cleansed_"), stored)
+    typed, basic = F.col("typed_error").isNull(), F.col("error").isNull()
     status = (
-        F.when(F.col("error").isNotNull(), "failed")
-        .when(route_upload(safe) == "copy", "copied")
-        .otherwise("cleansed")
+        F.when(route_upload(safe) == "copy", "copied").when(typed | basic, "cleansed").otherwise("failed")
     )
     return files.filter(is_allowed(F.col("file_name"))).select(
         "doc_id",
         safe.alias("original_filename"),
-        F.when(status == "cleansed", cleansed_name(safe, F.col("doc_id")))
-        .otherwise(copied).alias("cleansed_filename"),
+        F.when(status != "cleansed", F.concat(F.lit("cleansed_"), stored))
+        .when(typed, redacted_name(stored))
+        .otherwise(cleansed_name(safe, F.col("doc_id"))).alias("cleansed_filename"),
         metadata_name(stored).alias("metadata_filename"),
         extension(safe).alias("file_type"),
-        "error",
+        F.when(status == "failed", F.col("error")).alias("error"),
         status.alias("status"),
     )
 

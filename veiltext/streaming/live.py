@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,8 +11,30 @@ from veiltext.operators.counts import item_table
 
 
 def masked_stream(docs: DataFrame) -> DataFrame:
-    """Masked rows for each new row; stateless."""
-    return docs.select("doc_id", "file_name", mask_text(F.col("text")).alias("cleaned_text"))
+    """Masked rows for each new row; stateless. A row without text has a status, and stops nothing."""
+    text = F.col("text")
+    return docs.select(
+        "doc_id", "file_name", mask_text(text).alias("cleaned_text"),
+        F.when(text.isNull(), "failed").otherwise("cleansed").alias("status"),
+    )
+
+
+def latest_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """The totals of the last finished batch."""
+    every = spark.read.parquet(out_path)
+    newest = every.agg(F.max("batch").alias("batch"))
+    return every.join(newest, "batch", "left_semi").drop("batch")
+
+
+def document_stream(spark: SparkSession, path: str, files_per_batch: int | None = None,
+                    bytes_per_batch: str | None = None) -> DataFrame:
+    """Parquet files of `doc_id, file_name, text` as they arrive, so many or so much a batch."""
+    reader = spark.readStream.schema("doc_id bigint, file_name string, text string")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    return reader.parquet(path)
 
 
 def start_cleanse(docs: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
@@ -32,10 +54,14 @@ def running_counts(docs: DataFrame) -> DataFrame:
 
 
 def start_counters(docs: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the totals as one small table, rewritten by every batch with all the totals so far."""
+    """Keep the totals: every batch writes all the totals so far into a folder with its number.
+
+    Nothing that a reader may be reading is overwritten, and a batch that is run again after a crash
+    replaces only its own folder. `latest_counts` reads the newest.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(out_path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return (
         running_counts(docs).writeStream.outputMode("complete")
