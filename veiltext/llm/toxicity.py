@@ -18,6 +18,7 @@ from veiltext.llm.batches import annotated, small_batches
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18
+STARTS = (3, 4, 5, 6, 7)
 KNOWN_WORDS = 400_000
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -28,9 +29,9 @@ def fold(key: Column) -> Column:
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word and of its first four and five letters, in lower case."""
+    """Buckets of a word and of its first letters, in lower case."""
     low = word.lower()
-    names = [f"w:{low}"] + [f"{n}:{low[:n]}" for n in (4, 5) if len(low) >= n]
+    names = [f"w:{low}"] + [f"{n}:{low[:n]}" for n in STARTS if len(low) >= n]
     return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS for name in names]
 
 
@@ -63,8 +64,12 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class NoisyOr:
     """p(document) = 1 - prod(1 - p(sentence)), p(sentence) a logistic function of its features."""
 
-    def __init__(self, docs: np.ndarray, labels: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int) -> None:
+    def __init__(self, docs: np.ndarray, labels: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int,
+                 weight: float = 1.0) -> None:
+        """`weight` is that of a toxic document; a clean one's is 1."""
         self.docs, self.labels, self.rows, self.columns, self.width = docs, labels, rows, columns, width
+        share = np.where(labels == 1, weight, 1.0)
+        self.share = share / share.sum()
 
     def gradient(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
         z = bias + np.bincount(self.rows, weights=weights[self.columns], minlength=len(self.docs))
@@ -73,7 +78,7 @@ class NoisyOr:
         some = -np.expm1(none)
         # d(-log likelihood)/dz of a sentence: p for a clean document, else -p (1 - P) / P.
         factor = np.where(self.labels == 1, -(1 - some) / np.maximum(some, 1e-12), 1.0)
-        dz = p * factor[self.docs] / len(self.labels)
+        dz = p * (factor * self.share)[self.docs]
         return np.bincount(self.columns, weights=dz[self.rows], minlength=self.width), float(dz.sum())
 
     def fitted(self, steps: int, rate: float, shrink: float) -> tuple[np.ndarray, float]:
@@ -109,13 +114,14 @@ def _train(rows: pd.DataFrame, width: int, steps: int, rate: float, shrink: floa
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
     use = column[bucket] >= 0
-    model = NoisyOr(docs, labels, owner[use], column[bucket[use]], len(chosen))
+    weight = size[0] / size[1]  # both classes count the same
+    model = NoisyOr(docs, labels, owner[use], column[bucket[use]], len(chosen), weight)
     weights, bias = model.fitted(steps, rate, shrink)
     return pd.DataFrame({"bucket": np.r_[chosen, -1], "weight": np.r_[weights, bias]})
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, width: int = 4096,
-          steps: int = 300, rate: float = 0.1, shrink: float = 1e-4) -> dict[int, float]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, width: int = 512,
+          steps: int = 400, rate: float = 0.1, shrink: float = 1e-5) -> dict[int, float]:
     """The sentence model: a weight for each of at most `width` buckets, and the bias under -1.
 
     Learned from labels of whole documents: at most `per_class` of each class (a bounded sample, by
