@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+
+# A task has one core; the library's own threads would only take turns. Read when it is loaded.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+from tokenizers import Tokenizer  # noqa: E402
 
 ID = np.dtype("<u4")
-WORD = re.compile(r"[^ \t-\r]+")
-# Pieces of a text that a byte-level tokenizer with the usual word pattern never joins: blanks with
-# what follows them, cut again after Latin letters that a sign or digit follows.
-PIECE = re.compile(
-    r"[ \t-\r]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)|[^ \t-\r]+)"
-    r"|[ \t-\r]+"
-)
+# Pieces of a text that its tokenizer never joins. Both kinds of tokenizer begin anew at white space
+# and after a Latin letter that an ASCII sign or digit follows.
+_LATIN = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\x00-@\[-`{-\x7f])"
+# Where white space is dropped, pieces are what stands between it.
+WORD = re.compile(_LATIN + r"|[^ \t-\r]+")
+# Where it is kept, it belongs to the piece behind it.
+PIECE = re.compile(r"[ \t-\r]*" + _LATIN + r"|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # Characters on whose being blank the libraries may differ; a text with one is encoded as a whole.
 ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 GROUP_CHARS = 1 << 20
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 1_000_000
+
+
+def _bytes(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
+class Known(dict):
+    """Ids by piece; a piece that is missing is noted, and has none yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missed: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.missed.add(piece)
 
 
 class Encoder:
@@ -35,25 +60,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blanks = blanks
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=ID).tobytes() for x in found]
+        return [_bytes(x.ids) for x in found]
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        pieces = [
-            None if self.blanks and ODD.search(text) else (PIECE if self.blanks else WORD).findall(text)
-            for text in texts
-        ]
+        """First look up every piece, noting those not known; then ask the library for these, and
+        fill them in."""
+        find = (PIECE if self.blanks else WORD).findall
+        pieces = [[] if self.blanks and ODD.search(text) else find(text) for text in texts]
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        new = list(set().union(*(p for p in pieces if p is not None)) - self.known.keys())
-        self.known.update(zip(new, self._library(new)))
-        ids = self.known.__getitem__
+        known = self.known
+        ids = [list(map(known.__getitem__, p)) for p in pieces]
+        if known.missed:
+            new = list(known.missed)
+            known.missed.clear()
+            known.update(zip(new, self._library(new)))
+            ids = [
+                [known[w] if i is None else i for i, w in zip(found, p)] if None in found else found
+                for found, p in zip(ids, pieces)
+            ]
         return [
-            self._library([text])[0] if p is None else b"".join(map(ids, p))
-            for p, text in zip(pieces, texts)
+            b"".join(found) if found else self._library([text])[0] for found, text in zip(ids, texts)
         ]
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
