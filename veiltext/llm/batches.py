@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -23,6 +24,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(SETTING, str(BYTES))
 
 
+def few_keys(keys: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """A stored table of keys, one number or a little more a row: broadcast up to `limit` rows, so
+    that what it joins stays where it is; beyond that a plain side of a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
 def annotated(docs: DataFrame, find: Callable[[list[str]], list], found: str) -> DataFrame:
     """`doc_id` of each row with the columns `found` that `find` gives for a list of texts.
 

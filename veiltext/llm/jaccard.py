@@ -14,13 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import small_batches
+from veiltext.llm.batches import few_keys, small_batches
 from veiltext.llm.components import components
 from veiltext.session import stored
 
 GROUP_CHARS = 1 << 20
 KNOWN_WORDS = 1 << 19
-BROADCAST_KEYS = 1 << 20
 # Shingles with a hash in this part of the range come first in the order of all shingles. Their
 # lists are counted over all documents; a little more than the share a search needs to look at.
 COUNTED = 0.18
@@ -288,9 +287,7 @@ def links(docs: DataFrame, heads: DataFrame, classes: DataFrame, size: int, rule
         .select(F.col("r.class").alias("a"), F.col("class").alias("b")).distinct()
     )
     some = lists.join(shared.select("token"), "token", "left_semi").select("class").distinct()
-    wanted = stored(classes.join(some, "class").select(F.col("first").alias("doc_id")).distinct())
-    if wanted.count() <= BROADCAST_KEYS:  # eight bytes each; beyond it the join shuffles
-        wanted = F.broadcast(wanted)
+    wanted = few_keys(stored(classes.join(some, "class").select(F.col("first").alias("doc_id")).distinct()))
     sets = stored(
         docs.select("doc_id", "text")
         .join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
@@ -375,9 +372,12 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of `docs` with the smallest key of their group, with all their columns.
 
-    Rows that repeat that key stay together; so do rows with null keys.
+    Rows that share a key stay if any of them has it; rows with null keys stay. The keys that go
+    are few beside the texts, so texts are moved only if those keys are too many to broadcast.
     """
-    found = jaccard_groups(docs, size, num, den)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull())
-    stay = stay.select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    found = jaccard_groups(docs, size, num, den).filter("doc_id is not null")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
+    gone = few_keys(stored(
+        found.groupBy("doc_id").agg(stays).filter("not stays").select(F.col("doc_id").alias("_gone"))
+    ))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import annotated, small_batches
+from veiltext.llm.batches import annotated, few_keys, small_batches
 from veiltext.session import stored
 
 WORD = re.compile(r"[^ \t-\r]")
@@ -134,11 +134,11 @@ def _count(batches: Iterator[pd.DataFrame], count: int) -> Iterator[pd.DataFrame
 def ngram_weights(docs: DataFrame, trusted: DataFrame, count: int = 1 << 15) -> np.ndarray:
     """log p(bucket | trusted) - log p(bucket | all) for each bucket, from all documents.
 
-    `trusted` has the keys of trusted documents. Every partition counts into one vector, and the
-    vectors are added by bucket, so what is shuffled is small and what reaches the driver has
-    `count` rows at most. Counts are smoothed by one half.
+    `trusted` has the keys of trusted documents; as long as they are few, texts stay where they are.
+    Every partition counts into one vector, and the vectors are added by bucket, so what is shuffled
+    is small and what reaches the driver has `count` rows at most. Counts are smoothed by one half.
     """
-    keys = trusted.select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    keys = few_keys(stored(trusted.select("doc_id").distinct().withColumn("trusted", F.lit(True))))
     marked = docs.select("doc_id", "text").join(keys, "doc_id", "left").select(
         "text", F.coalesce("trusted", F.lit(False)).alias("trusted")
     )
@@ -240,6 +240,11 @@ def judged(docs: DataFrame, labels: DataFrame, count: int = 1 << 15, default_lim
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns; the table's keys are unique."""
-    good = judged(docs, labels).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_kept"]), "left_semi")
+    """The rows of `docs` that are kept, with all their columns.
+
+    Rows that share a key (or have none) stay if any of them is kept. The keys that go are few
+    beside the texts, so texts are moved only if those keys are too many to broadcast.
+    """
+    by_key = judged(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = few_keys(stored(by_key.filter("not kept").select(F.col("doc_id").alias("_gone"))))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
