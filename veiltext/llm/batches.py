@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.types import StructType
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BYTES = 16 << 20
+T = TypeVar("T")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -24,6 +26,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(SETTING, str(BYTES))
 
 
+_held: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], T]) -> T:
+    """What a worker remembers from task to task: one thing at a time.
+
+    Workers serve the tasks of many stages; if each stage's memory stayed, they would add up.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def few_keys(keys: DataFrame, limit: int = 1 << 20) -> DataFrame:
     """A stored table of keys, one number or a little more a row: broadcast up to `limit` rows, so
     that what it joins stays where it is; beyond that a plain side of a shuffled join."""

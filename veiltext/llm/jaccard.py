@@ -6,7 +6,7 @@ import hashlib
 import heapq
 import math
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import few_keys, small_batches
+from veiltext.llm.batches import few_keys, remembered, small_batches
 from veiltext.llm.components import components
 from veiltext.session import stored
 
 GROUP_CHARS = 1 << 20
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 18
 # Shingles with a hash in this part of the range come first in the order of all shingles. Their
 # lists are counted over all documents; a little more than the share a search needs to look at.
 COUNTED = 0.18
@@ -64,9 +64,8 @@ class WordHashes:
         return self.hashes[numbers]
 
 
-@lru_cache(maxsize=1)
 def _word_hashes() -> WordHashes:
-    return WordHashes()
+    return remembered("shingle words", WordHashes)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:

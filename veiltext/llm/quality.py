@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import annotated, few_keys, small_batches
+from veiltext.llm.batches import annotated, few_keys, remembered, small_batches
 from veiltext.session import stored
 
 WORD = re.compile(r"[^ \t-\r]")
@@ -20,7 +20,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 SIGNS = "#*$%&|<>"
 WINDOW = 5
 GROUP_CHARS = 1 << 20
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 18
 BASE = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
     "n_repeat_words bigint, base_failed boolean"
@@ -57,9 +57,8 @@ class Words:
         return np.fromiter((known[w] for text in texts for w in text), dtype=np.int64, count=total)
 
 
-@lru_cache(maxsize=1)
 def _words() -> Words:
-    return Words()
+    return remembered("quality words", Words)
 
 
 def groups(texts: Iterable[str | None]) -> Iterator[list[str]]:

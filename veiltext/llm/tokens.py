@@ -7,7 +7,6 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 
@@ -16,6 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
+from veiltext.llm.batches import remembered  # noqa: E402
+
 ID = np.dtype("<u4")
 # Pieces of a text that its tokenizer never joins. Both kinds of tokenizer begin anew at white space
 # and after a Latin letter that an ASCII sign or digit follows.
@@ -27,7 +28,7 @@ PIECE = re.compile(r"[ \t-\r]*" + _LATIN + r"|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 # Characters on whose being blank the libraries may differ; a text with one is encoded as a whole.
 ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 GROUP_CHARS = 1 << 20
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 700_000
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -101,7 +102,6 @@ class Encoder:
         yield from self._group(group)
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, blanks: bool) -> Encoder:
-    """One encoder for each worker and tokenizer, kept from task to task."""
-    return Encoder(path, blanks)
+    """A worker's encoder, kept from task to task."""
+    return remembered(path, lambda: Encoder(path, blanks))
