@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -175,13 +174,6 @@ def _decode(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.Record
                 )
 
 
-def _join(rows: pd.DataFrame) -> pd.DataFrame:
-    """One document from its portions."""
-    rows = rows.sort_values("at", kind="stable")
-    body = b"".join(rows["ids"])
-    return rows.head(1).assign(crc=zlib.crc32(body), ids=body)
-
-
 def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """The documents of a file: `doc_id, start, n_tokens, ids_crc32, ids`.
 
@@ -192,7 +184,13 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFram
     chunks = spark.read.schema(CHUNKS).parquet(path)
     found = stored(chunks.mapInArrow(partial(_decode, keep=keep_ids), PORTIONS))
     whole = found.filter("crc is not null")
-    crossing = found.filter("crc is null").groupBy("part", "start").applyInPandas(_join, PORTIONS)
+    portions = F.array_sort(F.collect_list(F.struct("at", "ids")))
+    crossing = (
+        found.filter("crc is null").groupBy("part", "start")
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), portions.alias("p"))
+        .withColumn("ids", F.aggregate("p", F.lit(b""), lambda whole, one: F.concat(whole, one["ids"])))
+        .withColumn("crc", F.crc32("ids")).drop("p").withColumn("at", F.col("start"))
+    )
     # One row per part: bounded by the writer's partitions.
     return whole.unionByName(crossing).join(F.broadcast(part_offsets(chunks)), "part").select(
         "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens",
