@@ -20,9 +20,10 @@ from veiltext.session import stored
 
 GROUP_CHARS = 1 << 20
 KNOWN_WORDS = 1 << 18
-# Shingles with a hash in this part of the range come first in the order of all shingles. Their
-# lists are counted over all documents; a little more than the share a search needs to look at.
-COUNTED = 0.18
+# Shingles with a hash in the first part of the range come first in the order of all shingles. Their
+# lists are counted over all documents. The part is a little more than the share of a set that a
+# search looks at, so that it seldom has to look at shingles that aren't counted.
+MARGIN = 1.2
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -36,6 +37,10 @@ class Rule:
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
 
+    @property
+    def counted(self) -> float:
+        return MARGIN * (1 - self.num / self.den)
+
     def need(self, a: int, b: int) -> int:
         return -(-self.num * (a + b) // (self.den + self.num))
 
@@ -141,7 +146,7 @@ def sketch(found: np.ndarray) -> np.ndarray:
 
 
 def _heads(batches: Iterator[pa.RecordBatch], size: int, rule: Rule) -> Iterator[pa.RecordBatch]:
-    limit = np.uint64(int(COUNTED * 2**64))
+    limit = np.uint64(min(int(rule.counted * 2**64), 2**64 - 1))
     for batch in batches:
         for at, sets in _groups(batch, size):
             counted = [int(np.searchsorted(s, limit)) for s in sets]
