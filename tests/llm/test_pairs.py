@@ -89,6 +89,24 @@ def test_one_of_each(docs, odd, none):
     assert jaccard_groups(none).count() == 0 and one_of_each(none).count() == 0
 
 
+def test_one_of_each_row(spark):
+    """Null, shared and hot keys: of each group one row stays, that with the smallest key."""
+    texts = [" ".join(f"g{g}w{i}" for i in range(40)) for g in range(4)]
+    near = [t + " end" for t in texts]
+    rows = [
+        *[(None, texts[0], i) for i in range(3)], (None, near[0], 3),
+        *[(7, texts[1], i) for i in range(3)], (7, near[1], 3), (None, texts[1], 4), (9, texts[1], 5),
+        *[(7, texts[2], i) for i in range(2)], (3, near[2], 2),
+        (None, texts[3], 0), (8, texts[3], 1), (None, None, 0), (None, "", 0),
+    ]
+    found = one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(5)).collect()
+    group = lambda r: r.text[:2] if r.text else r.text
+    assert Counter((r.doc_id, group(r)) for r in found) == Counter(
+        [(None, "g0"), (7, "g1"), (3, "g2"), (8, "g3"), (None, None), (None, "")]
+    )
+    assert all((r.doc_id, r.text, r.n) in rows for r in found)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1), min_size=2, max_size=12), st.sampled_from([(85, 100), (1, 2), (4, 5)]),
        st.sampled_from([0.001, 0.01, 1.0]))

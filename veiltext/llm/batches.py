@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from veiltext.session import stored
+
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BYTES = 16 << 20
 T = TypeVar("T")
+ROW = "_row_no"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -46,6 +49,15 @@ def few_keys(keys: DataFrame, limit: int = 1 << 20) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, stored once, each with a number of its own in `ROW`.
+
+    Keys may be null or shared, so what is decided about a row is carried by its number. The numbers
+    are written with the rows: read again, or after a lost task, a row still has the same one.
+    """
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def annotated(docs: DataFrame, find: Callable[[list[str]], list], found: str) -> DataFrame:
     """`doc_id` of each row with the columns `found` that `find` gives for a list of texts.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import few_keys, remembered, small_batches
+from veiltext.llm.batches import ROW, few_keys, numbered, remembered, small_batches
 from veiltext.llm.components import components
 from veiltext.session import stored
 
@@ -374,14 +374,19 @@ def jaccard_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of `docs` with the smallest key of their group, with all their columns.
+    """One row of each group of `docs`, with all its columns: that with the smallest key.
 
-    Rows that share a key stay if any of them has it; rows with null keys stay. The keys that go
-    are few beside the texts, so texts are moved only if those keys are too many to broadcast.
+    Groups are made of rows, whatever their keys: a null key comes after all others, and of rows
+    that share their group's smallest key one stays. Rows without words are groups of their own.
+    The rows are stored with numbers; the numbers that go are few beside the texts, so texts are
+    moved only if those are too many to broadcast.
     """
-    found = jaccard_groups(docs, size, num, den).filter("doc_id is not null")
-    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
-    gone = few_keys(stored(
-        found.groupBy("doc_id").agg(stays).filter("not stays").select(F.col("doc_id").alias("_gone"))
-    ))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = numbered(docs)
+    groups = jaccard_groups(rows.select(F.col(ROW).alias("doc_id"), "text"), size, num, den).select(
+        F.col("doc_id").alias(ROW), "component_id"
+    )
+    found = stored(groups.join(rows.select(ROW, "doc_id"), ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
+    stays = found.groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    gone = few_keys(stored(found.select(ROW).join(stays, ROW, "left_anti")))
+    return rows.join(gone, ROW, "left_anti").select(*(rows[name] for name in docs.columns))
