@@ -127,3 +127,23 @@ def test_mixed_documents_keep_columns(odd):
     found = mixed_documents(odd)
     assert found.columns == odd.columns
     assert {r.doc_id for r in found.collect()} <= {r.doc_id for r in odd.collect()}
+
+
+def test_mixed_documents_are_by_row(spark):
+    """Rows with a null or shared key stay each as often as it is taken itself."""
+    key = lambda i: None if i % 3 == 0 else 5 if i % 3 == 1 else i
+    rows = [(key(i), " ".join([f"w{i}"] * (10 + i % 7)), "ab"[i % 2], i) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int").repartition(4)
+    settings = {"weights": (3, 1), "share": (1, 4), "block": 16}
+    documents = mix(docs, **settings)[0].collect()
+    times = [-(-r.taken // r.size) for r in documents]
+    assert 0 in times
+    found = mixed_documents(docs, **settings).collect()
+    assert all(tuple(r) in rows for r in found)
+    sizes = Counter()
+    for r in found:
+        sizes[r.source] += len(r.text.split())
+    goals = {r.source: int(r.target + 0.5) for r in documents}
+    # Whole documents: a source goes beyond its words by less than one document an end of its stretch.
+    assert all(goals[s] <= sizes[s] < goals[s] + 2 * 16 for s in goals)
+    assert len(found) == sum(times)

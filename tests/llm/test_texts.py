@@ -101,6 +101,15 @@ def test_quality_edges(odd, none, labels, docs):
     assert quality.kept_documents(odd, labels).columns == odd.columns
 
 
+def test_quality_is_by_row(spark):
+    """Rows with a null or shared key go or stay each by its own text."""
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, good), (None, "too short"), (5, good), (5, "too short"), (5, ""), (6, "too short"), (5, None)]
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    found = quality.kept_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), labels).collect()
+    assert Counter(map(tuple, found)) == Counter([(None, good), (5, good)])
+
+
 # --- personal data ----------------------------------------------------------------------------
 def plain_base(text):
     text = text or ""

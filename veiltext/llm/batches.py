@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
 
 import pyarrow as pa
@@ -58,19 +58,20 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def annotated(docs: DataFrame, find: Callable[[list[str]], list], found: str) -> DataFrame:
-    """`doc_id` of each row with the columns `found` that `find` gives for a list of texts.
+def annotated(docs: DataFrame, find: Callable[[list[str]], list], found: str,
+              keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The keys of each row with the columns `found` that `find` gives for a list of texts.
 
     A null text is handed over as an empty one. Keys pass through as they are, whatever their type.
     """
     small_batches(docs.sparkSession)
-    key = docs.schema["doc_id"].dataType.simpleString()
+    given = ", ".join(f"{key} {docs.schema[key].dataType.simpleString()}" for key in keys)
     columns = StructType.fromDDL(found).names
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
+            texts = [text or "" for text in batch.column(len(keys)).to_pylist()]
             values = find(texts) if texts else [[] for _ in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, values)], ["doc_id", *columns])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, values)], [*keys, *columns])
 
-    return docs.select("doc_id", "text").mapInArrow(step, f"doc_id {key}, {found}")
+    return docs.select(*keys, "text").mapInArrow(step, f"{given}, {found}")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veiltext.llm.batches import ROW, numbered
 from veiltext.llm.prefix import running
 from veiltext.session import stored
 
@@ -124,10 +125,12 @@ def schedule(spark: SparkSession, quota: DataFrame, slots: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2),
         repeats: int = 2, block: int = 1024, seed: str = "mix", key: str = "doc_id",
-        text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+        text: str = "text", source: str = "source",
+        carried: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """The mix as two tables: documents, and the segments that make up its blocks.
 
-    Documents: `row` (a number for each input row), `key, size, source, source_size, target, taken`.
+    Documents: `row` (a number for each input row), `key, size, source, source_size, target, taken`,
+    and the columns `carried`, which also order rows that have the same key and size.
     Segments: `slot, source_no, block, row, at, words`: block number `block` of a source stands at
     place `slot` of the mix and takes `words` words of document `row` from word `at` on.
 
@@ -143,7 +146,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, i
     """
     rows = docs.select(
         F.col(key).alias("_key"), F.col(source).alias("source"),
-        word_count(F.col(text)).alias("size"),
+        word_count(F.col(text)).alias("size"), *carried,
     ).withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col("_key").cast("string"))))
     rows = stored(rows)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -151,8 +154,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, i
     placed = stored(running(
         rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
             "source_no", "_order", "_key", "size", "source_size", "target", rows["source"],
+            *carried,
         ),
-        ["source_no", "_order", "_key", "size"], ["size"],
+        ["source_no", "_order", "_key", "size"], ["size"], [F.col(name) for name in carried],
     ).withColumnRenamed("row_before", "row"))
 
     spark = docs.sparkSession
@@ -193,7 +197,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, i
     taken = segments.groupBy("row").agg(F.sum("words").alias("taken"))
     documents = placed.join(taken, "row", "left").select(
         "row", F.col("_key").alias(key), "size", "source", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), *carried,
     )
     return documents, segments
 
@@ -202,16 +206,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, with all their columns.
 
     A block may cut through a document; here a document of which any words are taken stays whole,
-    once for each time it is begun, and one that no block reaches goes. Rows that share a key (or
-    have none) stay as often as the one among them that is taken most often.
+    once for each time it is begun, and one that no block reaches goes. Each row stays as often
+    as it is taken itself, also if its key is null or shared; the rows are stored with numbers.
     """
-    documents, _ = mix(docs, **settings)
-    key = settings.get("key", "doc_id")
-    times = (
-        documents.filter("taken > 0").groupBy(F.col(key).alias("_taken"))
-        .agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-        .select("_taken", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    )
-    return docs.join(times, docs[key].eqNullSafe(times["_taken"])).select(
-        *(docs[name] for name in docs.columns)
-    )
+    rows = numbered(docs)
+    documents, _ = mix(rows, carried=(ROW,), **settings)
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    taken = documents.filter("taken > 0").select(ROW, F.explode(F.sequence(F.lit(1), times)))
+    return rows.join(taken, ROW).select(*(rows[name] for name in docs.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import annotated, few_keys, remembered, small_batches
+from veiltext.llm.batches import ROW, annotated, few_keys, numbered, remembered, small_batches
 from veiltext.session import stored
 
 WORD = re.compile(r"[^ \t-\r]")
@@ -181,10 +181,11 @@ def _score(texts: list[str], weights: np.ndarray, least_words: int, most_repeate
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, least_words: int = 10,
-                    most_repeated: int = 20) -> DataFrame:
+                    most_repeated: int = 20, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The counts, the base rules and the mean log-likelihood ratio of each document's n-grams."""
     return annotated(
-        docs, lambda texts: _score(texts, weights, least_words, most_repeated), f"{BASE}, ratio double"
+        docs, lambda texts: _score(texts, weights, least_words, most_repeated), f"{BASE}, ratio double",
+        keys,
     )
 
 
@@ -216,8 +217,8 @@ def verdict_limit(scored: DataFrame, labels: DataFrame, step: float = 1 / 1024)
 
 
 def judged(docs: DataFrame, labels: DataFrame, count: int = 1 << 15, default_limit: float = -0.08,
-           least_words: int = 10, most_repeated: int = 20) -> DataFrame:
-    """`doc_id`, the counts, `base_failed`, `ratio` and `kept` of every document.
+           least_words: int = 10, most_repeated: int = 20, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """`keys` (`doc_id` is one of them), the counts, `base_failed`, `ratio` and `kept` of every document.
 
     The trusted target are the documents labelled quality 1, the raw corpus is all of `docs`. Words
     and pairs of neighbouring words are hashed into `count` buckets, whose counts over all documents
@@ -232,7 +233,7 @@ def judged(docs: DataFrame, labels: DataFrame, count: int = 1 << 15, default_lim
     small_batches(docs.sparkSession)
     trusted = labels.filter("quality = 1").select("doc_id")
     weights = ngram_weights(docs, trusted, count)
-    scored = stored(score_documents(docs, weights, least_words, most_repeated))
+    scored = stored(score_documents(docs, weights, least_words, most_repeated, keys))
     limit = verdict_limit(scored, labels)
     limit = default_limit if limit is None else limit
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= limit))
@@ -241,9 +242,11 @@ def judged(docs: DataFrame, labels: DataFrame, count: int = 1 << 15, default_lim
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns.
 
-    Rows that share a key (or have none) stay if any of them is kept. The keys that go are few
-    beside the texts, so texts are moved only if those keys are too many to broadcast.
+    Each row goes or stays by its own verdict, also if its key is null or shared. The rows are stored
+    with numbers; the numbers that go are few beside the texts, so texts are moved only if those are
+    too many to broadcast.
     """
-    by_key = judged(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = few_keys(stored(by_key.filter("not kept").select(F.col("doc_id").alias("_gone"))))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    rows = numbered(docs)
+    verdicts = judged(rows, labels, keys=("doc_id", ROW))
+    gone = few_keys(stored(verdicts.filter("not kept").select(ROW)))
+    return rows.join(gone, ROW, "left_anti").select(*(rows[name] for name in docs.columns))
