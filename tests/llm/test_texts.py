@@ -172,6 +172,17 @@ def test_anchored_spans(text, span):
     assert pii.named(found) == (span or "")
 
 
+@pytest.mark.parametrize("quote", ["", "'", '"'])
+def test_long_secrets_are_whole(quote):
+    """Signed tokens and long keys have no tail that stays in the text."""
+    for size in (256, 257, 300, 5000):
+        value = ("eyJhbGci.A1-b_2/c+" * size)[:size]
+        text = f"token: {quote}{value}{quote} end"
+        start = 7 + len(quote)
+        assert ("secret", start, start + size) in pii.find(text)
+        assert pii.redact(text) == f"token: {quote}[SECRET]{quote} end"
+
+
 def test_redaction(odd, none):
     found = pii.redacted_documents(odd)
     assert found.schema.names == odd.schema.names

@@ -32,7 +32,7 @@ _HOST = re.compile(r"(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9-]+(?:\.[A-Za-z
 _BETWEEN = re.compile(r"[ \t]*(?:(?:no|nr|number|id)\b\.?[ \t]*)?[:=#]?[ \t]*", re.I)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"[0-9]{8,18}(?![A-Za-z0-9])")
-_VALUE = re.compile(r"[ \t]*[:=][ \t]*([\"']?)([A-Za-z0-9_+/.~-]{8,256})\1")
+_VALUE = re.compile(r"[ \t]*[:=][ \t]*([\"']?)([A-Za-z0-9_+/.~-]{8,})\1")
 _KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 _WORDISH = re.compile(r"[A-Za-z0-9_]")
 
