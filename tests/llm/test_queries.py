@@ -36,7 +36,7 @@ def test_oracle(spark, folder, name):
 
 
 def test_names():
-    assert [f"op{n}" for n in range(1, 11)] == [name.split("_")[0] for name in llm.queries()]
+    assert [f"op{n}" for n in range(1, 14)] == [name.split("_")[0] for name in llm.queries()]
     assert {"pipeline", *llm.queries()} <= set(entry.queries())
 
 

@@ -148,10 +148,97 @@ from documents d left join sizes z on z.doc_id = d.doc_id join reached r on r.do
 group by d.doc_id
 """
 
+# Pairs of equal words on a diagonal, gathered to rows of matches; a row whose stretch lies in that of
+# a divisor of its lag repeats a smaller period.
+PERIODS = rf"""
+with split as (
+  select row_number() over () as no, doc_id, {_CRC.format(blob="encode(doc_id::varchar)")} as h,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+  from documents
+),
+cut as (select *, len(words) as n, h // 10 as g from split),
+chosen as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from cut),
+dealt as (
+  select no, doc_id, n, case when a is null then words else list_transform(
+    range(n), lambda i: words[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]
+  ) end as words
+  from chosen
+),
+placed as (
+  select no, n, unnest(words) as word, unnest(range(n)) as i from dealt
+),
+matches as (
+  select x.no, y.i - x.i as q, x.i
+  from placed x join placed y on x.no = y.no and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n
+),
+rows_of as (select *, i - row_number() over (partition by no, q order by i) as place from matches),
+stretches as (
+  select no, q, min(i) as start, count(*) + q as length from rows_of group by no, q, place
+  having count(*) + q >= greatest(6, 4 * q)
+),
+runs as (
+  select * from stretches s where not exists (
+    select 1 from stretches t where t.no = s.no and t.q < s.q and s.q % t.q = 0
+      and t.start <= s.start and t.start + t.length >= s.start + s.length
+  )
+),
+per_doc as (
+  select no, count(*) as n_runs, first({{'s': start, 'l': length, 'q': q}} order by length desc, start, q) as best,
+    string_agg(start::varchar || ',' || length || ',' || q || chr(10), '' order by start, q) as listed
+  from runs group by no
+),
+dropped as (
+  select distinct no, unnest(range(start + q, start + length)) as i from runs
+),
+short as (
+  select p.no, string_agg(p.word, ' ' order by p.i) as body
+  from placed p anti join dropped d on p.no = d.no and p.i = d.i group by p.no
+)
+select d.doc_id, coalesce(r.n_runs, 0)::bigint as n_runs, r.best.s::bigint as start, r.best.l::bigint as length,
+  r.best.q::bigint as period, (1000 * r.best.l // r.best.q)::bigint as exponent_milli,
+  sha256(coalesce(r.listed, '')) as runs_sha256, sha256(coalesce(s.body, '')) as collapsed_sha256
+from dealt d left join per_doc r on d.no = r.no left join short s on d.no = s.no
+"""
+
+MIDDLE = r"""
+with drawn as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as hex from documents
+),
+cut as (
+  select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units,
+    list_transform([0, 1, 2, 3], lambda k: ('0x' || hex[1 + 8 * k:8 + 8 * k])::bigint) as h
+  from drawn
+),
+formed as (
+  select doc_id, text, units, len(units) as n,
+    least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as low,
+    greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as high,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain'
+      when h[4] % 100 < 50 then 'spm' else 'psm' end as form
+  from cut
+),
+parts as (
+  select doc_id, text, n, form, coalesce(array_to_string(units[1:low], ''), '') as prefix,
+    coalesce(array_to_string(units[low + 1:high], ''), '') as middle,
+    coalesce(array_to_string(units[high + 1:n], ''), '') as suffix
+  from formed
+)
+select doc_id, n::bigint as n, form,
+  case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+  sha256(case form when 'plain' then text
+    when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from parts
+"""
+
 ORACLE: dict[str, str] = {
     "op1_sharding": SHARDING,
     "op4_mixing": MIXING,
     "op7_warc": WARC,
     "op8_top_k": TOP_K,
     "op9_jaccard": JACCARD,
+    "op12_periodic_runs": PERIODS,
+    "op13_fill_middle": MIDDLE,
 }

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veiltext.llm import jaccard, mixing, packing, pii, planes, quality, sharding, topk, toxicity, warc
+from veiltext.llm import (
+    jaccard, lookup, middle, mixing, packing, periodic, pii, planes, quality, sharding, topk, toxicity, warc,
+)
 from veiltext.llm.oracle import ORACLE
 from veiltext.session import shared_folder
 
@@ -74,9 +76,59 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return lookup.fingerprints(table(spark, folder, "documents"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """`doc_id, text`, in which about a tenth of the documents repeat some of their words to the end.
+
+    Which ones, from which word on and with which period follows from the key's CRC; a null key
+    changes nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), chosen.alias("words"))
+    n, g = F.size("words"), F.col("g")
+    cut = split.select("doc_id", "text", "g", "words", F.when(n > 0, (g % n).cast("int")).alias("a"))
+    period = (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")
+    cut = cut.select("doc_id", "text", "words", "a", period.alias("p"))
+    repeated = F.concat(
+        F.slice("words", F.lit(1), F.col("a")),
+        F.transform(F.sequence(F.col("a"), n - 1), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))),
+    )
+    text = F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return cut.select("doc_id", text.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periods(table(spark, folder, "documents")))
+    longest = F.reduce(
+        "runs", F.get("runs", F.lit(0)),
+        lambda best, run: F.when(run["length"] > best["length"], run).otherwise(best),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = middle.transformed(table(spark, folder, "documents"), seed=7, rate=100, spm=50)
+    return middle.restored(made).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 _QUERIES: tuple[Query, ...] = (
     op1_sharding, op2_toxicity, op3_packing, op4_mixing, op5_quality, op6_token_planes, op7_warc,
-    op8_top_k, op9_jaccard, op10_pii,
+    op8_top_k, op9_jaccard, op10_pii, op11_fingerprints, op12_periodic_runs, op13_fill_middle,
 )
 
 
