@@ -9,7 +9,6 @@ digests of both sides are known. If that gets stuck, larger tables of both texts
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator, Sequence
 from itertools import chain
@@ -17,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veiltext.llm.batches import small_batches
@@ -75,7 +74,7 @@ def places(keys: np.ndarray, cells: int) -> np.ndarray:
 
 
 def checks(keys: np.ndarray) -> np.ndarray:
-    return _mixed(keys, _CHECK)
+    return _mixed(keys, _CHECK).astype(np.uint32)
 
 
 class Tables:
@@ -85,7 +84,7 @@ class Tables:
         self.cells = cells
         self.count = np.zeros((texts, HASHES * cells), np.int64)
         self.key = np.zeros((texts, HASHES * cells), np.uint64)
-        self.check = np.zeros((texts, HASHES * cells), np.uint64)
+        self.check = np.zeros((texts, HASHES * cells), np.uint32)
 
     def add(self, text: np.ndarray, keys: np.ndarray, sign: np.ndarray | int) -> None:
         """Put digest `keys[i]` into (sign 1) or take it out of (sign -1) the table of `text[i]`."""
@@ -167,14 +166,22 @@ def likeness(left: np.ndarray, right: np.ndarray, apart: tuple) -> float:
     return shared / both if both else 1.0
 
 
-def written(keys: Sequence[np.ndarray], cells: int = CELLS) -> list[str]:
-    """Each text's fingerprint: its number of paragraphs, then its smallest table in base64."""
+def written(keys: Sequence[np.ndarray], cells: int = CELLS) -> list[bytes]:
+    """Each text's smallest table as bytes: all cells' digests, then their checks, then their counts,
+    each little-endian; a count in as many groups of seven bits as it needs, the lowest first, each
+    but the last with the eighth bit set."""
     made = tables(keys, cells)
-    lines = zip(made.count.astype("<i4"), made.key.astype("<u8"), made.check.astype("<u8"))
-    return [
-        f"{len(k)}:{base64.b64encode(b''.join(x.tobytes() for x in line)).decode()}"
-        for k, line in zip(keys, lines)
-    ]
+    digest, check = made.key.astype("<u8"), made.check.astype("<u4")
+    found = []
+    for line, counts in enumerate(made.count.tolist()):
+        out = bytearray(digest[line].tobytes() + check[line].tobytes())
+        for count in counts:
+            while count > 127:
+                out.append(count & 127 | 128)
+                count >>= 7
+            out.append(count)
+        found.append(bytes(out))
+    return found
 
 
 def edited(text: str, after: str, num: int = 1, den: int = 4) -> str:
@@ -184,8 +191,8 @@ def edited(text: str, after: str, num: int = 1, den: int = 4) -> str:
 
 
 RESULT = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double, n_paragraphs long, n_changed long"
+    "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
+    "near_edited double, near_next double, n_paragraphs long, n_edited long, n_changed long"
 )
 _NAMES = [column.split()[0] for column in RESULT.split(", ")]
 
@@ -203,12 +210,13 @@ def compared(keys: pa.Array, texts: Sequence[str], afters: Sequence[str]) -> lis
     return [
         keys,
         pa.array(list(map(len, texts)), pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-        pa.array(written(own), pa.string()),
-        pa.array(written(new), pa.string()),
+        pa.array([hashlib.sha256(t.encode()).digest() for t in changed], pa.binary()),
+        pa.array(written(own), pa.binary()),
+        pa.array(written(new), pa.binary()),
         pa.array([likeness(a, b, d) for a, b, d in zip(own, new, apart[:n])], pa.float64()),
         pa.array([likeness(a, b, d) for a, b, d in zip(own, later, apart[n:])], pa.float64()),
         pa.array(list(map(len, own)), pa.int64()),
+        pa.array(list(map(len, new)), pa.int64()),
         pa.array([len(d[0]) + len(d[1]) for d in apart[:n]], pa.int64()),
     ]
 
@@ -262,7 +270,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """`doc_id` and, of each text, of its edited text and of the next document:
 
     - `n_chars`: code points; `edited_sha256`: of the text whose last quarter is replaced by the next
-      document's beginning; `fingerprint`, `edited_fingerprint`: number of paragraphs and the table,
+      document's beginning; `fingerprint`, `edited_fingerprint`: number of paragraphs and the
+      smallest table, `n:base64`,
     - `near_edited`, `near_next`: shared paragraphs among all paragraphs, found by subtracting tables,
     - `n_paragraphs`, and `n_changed`: paragraphs that only one of the text and the edited text has.
 
@@ -293,4 +302,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     after = ends.select(F.col("part").alias("next"), F.col("opening").alias("after"))
     met = ends.join(F.broadcast(numbers), "part").join(after, "next").select("doc_id", "closing", "after")
     closed = met.mapInArrow(_pairs, f"{key}, {RESULT}")
-    return walked.filter("part is null").select("doc_id", *_NAMES).unionByName(closed)
+
+    def shown(table: str, count: str) -> Column:
+        # Spark breaks base64 into lines.
+        body = F.replace(F.base64(table), F.lit("\r\n"), F.lit(""))
+        return F.concat(F.col(count).cast("string"), F.lit(":"), body).alias(table)
+
+    return walked.filter("part is null").select("doc_id", *_NAMES).unionByName(closed).select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        shown("fingerprint", "n_paragraphs"), shown("edited_fingerprint", "n_edited"),
+        "near_edited", "near_next", "n_paragraphs", "n_changed",
+    )
