@@ -1,134 +1,60 @@
-"""SQL functions and the span table function.
+"""SQL functions and a span table function, rendered from the same columns that the DataFrame API uses.
 
 The bodies are plain SQL over built-in functions, so Catalyst inlines them into the query; nothing
-runs in Python.
+runs in Python, and there is no second copy of any rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable
 
-from veiltext import rules
-from veiltext.functions.cleanse import (
-    _ADDRESS_FULL,
-    _ADDRESS_SIMPLE,
-    _ZIP_FULL,
-    _ZIP_SIMPLE,
-)
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
+from veiltext.functions.cleanse import cleanse_text
+from veiltext.functions.mask import mask_spans
+from veiltext.functions.spans import detect_ranked, public_spans, resolve_overlaps
+from veiltext.functions.text import let, normalize_text
 
-def _q(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_SPAN = "entity STRING, text STRING, start INT, `end` INT, source STRING"
+# A string literal, or an operator written like a function, which the parser takes only in quotes.
+_LITERAL_OR_OPERATOR = re.compile(r"'(?:[^'\\]|\\.)*'|(?<=[(, ])([-+*/%!<>=&|]+)\(", re.S)
 
 
-def _chars(text: str) -> str:
-    return "'" + "".join(f"\\u{ord(c):04x}" for c in text) + "'"
-
-
-_SPANS = "array<struct<start:int,shorter:int,rank:int,entity:string,text:string,end:int>>"
-_PAIRS = "array<struct<h:string,g:string,rank:int,entity:string>>"
-
-
-def _pairs(rank: int, d: rules.Detector) -> str:
-    """One detector's matches with the text before each; the last entry has no match."""
-    hint = "contains(t, '@')" if d.hint == "@" else f"t rlike {_q(d.hint)}"
-    return f"""if({hint},
-        zip_with(regexp_extract_all(t, {_q(d.search)}, 0), split(t, {_q(d.search)}, -1),
-          (h, g) -> named_struct('h', h, 'g', g, 'rank', {rank}, 'entity', '{d.entity}')),
-        cast(array() AS {_PAIRS}))"""
-
-
-def _all_spans() -> str:
-    """Positions are running sums over the split walk, one detector after the other."""
-    pairs = ", ".join(_pairs(i, d) for i, d in enumerate(rules.SPAN_DETECTORS, 1))
-    mail = ", ".join(f"'{d.entity}'" for d in rules.SPAN_DETECTORS if d.mail)
-    return f"""aggregate(concat({pairs}),
-      named_struct('at', 0, 'out', cast(array() AS {_SPANS})),
-      (acc, p) -> named_struct(
-        'at', coalesce(acc.at + length(p.g) + length(p.h), 0),
-        'out', if(p.h IS NULL OR (p.entity IN ({mail}) AND NOT p.h RLIKE {_q(rules.ADDRESS)}), acc.out, array_append(acc.out, named_struct(
-          'start', acc.at + length(p.g), 'shorter', -length(p.h), 'rank', p.rank,
-          'entity', p.entity, 'text', p.h, 'end', acc.at + length(p.g) + length(p.h))))),
-      acc -> acc.out)"""
-
-
-def _real(text: str, test: str, pattern: str, real: str, tag: str) -> str:
-    """Replace the matches `h` that are real; the others are put back as they were."""
-    return f"""if({test},
-      array_join(zip_with(split({text}, {_q(pattern)}, -1),
-        regexp_extract_all({text}, {_q(pattern)}, 0),
-        (g, h) -> concat(g, if({real}, '{tag}', coalesce(h, '')))), ''),
-      {text})"""
-
-
-def _address(text: str, zip_code: str, pattern: str) -> str:
-    return _real(text, f"{text} rlike {_q(zip_code)}", pattern, "right(h, 1) rlike '(?U)\\\\d'", "[ADDRESS]")
-
-
-def _replacing(text: str, *pairs: tuple[str, str]) -> str:
-    for pattern, tag in pairs:
-        text = f"regexp_replace({text}, {_q(pattern)}, '{tag}')"
-    return text
-
-
-def _let(value: str, name: str, body: str) -> str:
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+def sql_of(column: Column) -> str:
+    """A column's expression as SQL text; what it refers to stands by its name."""
+    shown = str(column)
+    text = f" {shown[len('Column<') + 1:-2]}"
+    return _LITERAL_OR_OPERATOR.sub(lambda m: f"`{m[1]}`(" if m[1] else m[0], text).strip()
 
 
 def sql_definitions() -> list[str]:
-    normal = (
-        "btrim(regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', '\\n'), "
-        "'[ \\t]+', ' '), '\\n{3,}', '\\n\\n'), " + _chars(rules.WHITESPACE) + ")"
-    )
-    kept = f"""aggregate(array_sort({_all_spans()}),
-      named_struct('edge', 0, 'kept', cast(array() AS {_SPANS})),
-      (acc, s) -> if(s.start >= acc.edge,
-        named_struct('edge', s.end, 'kept', array_append(acc.kept, s)), acc),
-      acc -> acc.kept)"""
-    tag = "CASE s.entity " + " ".join(
-        f"WHEN '{e}' THEN '{t}'" for e, t in rules.TAGS.items()
-    ) + " ELSE concat('[REDACTED_', s.entity, ']') END"
-    masked = f"""aggregate(k, named_struct('pos', 0, 'out', ''),
-      (acc, s) -> named_struct('pos', s.end,
-        'out', concat(acc.out, substring(t, acc.pos + 1, s.start - acc.pos), {tag})),
-      acc -> concat(acc.out, substring(t, acc.pos + 1)))"""
-    mail = _real("t", "contains(t, '@')", rules.swallowing(rules.CLEANSE_EMAIL),
-                 f"h rlike {_q(rules.ADDRESS)}", "[EMAIL]")
-    head = _replacing(
-        mail, (rules.CLEANSE_PHONE, "[PHONE]"),
-        (rules.CLEANSE_SSN, "[SSN]"), (rules.CLEANSE_CARD, "[CREDIT CARD]"),
-        (rules.CLEANSE_IP, "[IP ADDRESS]"), (rules.CLEANSE_DATE, "[DATE]"),
-    )
-    both = _let(_address("a", _ZIP_FULL, _ADDRESS_FULL), "b",
-                _address("b", _ZIP_SIMPLE, _ADDRESS_SIMPLE))
-    address = _let(head, "a", both)
-    terms = r"(?iU)\b(?:" + "|".join(rules.CLIENT_TERMS) + r")\b"
-    chain = _replacing(
-        address, (rules.CLEANSE_MAC, "[MAC ADDRESS]"),
-        (rules.CLEANSE_LICENSE, "[DRIVER LICENSE]"), (rules.CLEANSE_PASSPORT, "[PASSPORT]"),
-        (terms, "[CLIENT TERM]"),
-    )
+    array = ", ".join(c.replace(" ", ": ", 1) for c in _SPAN.split(", "))
 
-    def define(name: str, returns: str, body: str) -> str:
-        return f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {returns} RETURN {body}"
+    def define(signature: str, returns: str, body: Callable[[Column], Column]) -> str:
+        # An argument is put in wherever the body names it: it is evaluated once, and then named.
+        sql = sql_of(let(F.col("t"), body))
+        return f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {returns} RETURN {sql}"
 
     return [
-        define("normalize_text", "STRING", normal),
-        define("pii_span_array", _SPANS, kept),
-        define("mask_pii", "STRING", _let(kept, "k", masked)),
-        define("cleanse_text", "STRING", chain),
+        define("normalize_text(t STRING)", "STRING", normalize_text),
+        define("pii_span_array(t STRING)", f"ARRAY<STRUCT<{array}>>",
+               lambda t: public_spans(resolve_overlaps(detect_ranked(t)))),
+        define("mask_pii(t STRING)", "STRING", lambda t: mask_spans(t)),
+        define("cleanse_text(t STRING, file_name STRING DEFAULT NULL)", "STRING",
+               lambda t: cleanse_text(t, F.col("file_name"))),
+        f"CREATE OR REPLACE TEMPORARY FUNCTION pii_spans(t STRING) RETURNS TABLE ({_SPAN}) RETURN "
+        "SELECT s.entity, s.text, s.start, s.`end`, s.source FROM "
+        "(SELECT explode_outer(found) AS s FROM (SELECT pii_span_array(t) AS found)) WHERE s IS NOT NULL",
     ]
 
 
 def register(spark: SparkSession) -> None:
-    """Create `normalize_text`, `pii_span_array`, `mask_pii` and `cleanse_text` for SQL queries."""
+    """Create the functions for SQL queries of the session.
+
+    `normalize_text(text)`, `mask_pii(text)`, `cleanse_text(text [, file_name])`, `pii_span_array(text)`,
+    and the table function `pii_spans(text)`: `FROM docs, LATERAL pii_spans(docs.text)`.
+    """
     for statement in sql_definitions():
         spark.sql(statement)
-
-
-def pii_spans(spark: SparkSession, view: str, text: str = "text") -> DataFrame:
-    """Kept spans of a view's text column as rows."""
-    return spark.sql(
-        f"SELECT doc_id, s.entity, s.text, s.start, s.end FROM "
-        f"(SELECT doc_id, pii_span_array({text}) AS spans FROM {view}) LATERAL VIEW explode(spans) e AS s"
-    )

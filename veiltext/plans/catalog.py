@@ -24,19 +24,23 @@ from veiltext.sources import sinks
 from veiltext.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
-_REGISTRY: dict[str, Query] = {}
+_REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def query(name: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     def add(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        _REGISTRY[name] = lambda spark, folder: fn(Tables(spark, folder))
+        _REGISTRY[name] = fn
         return fn
 
     return add
 
 
-def queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+def queries(partitions: int | None = None) -> dict[str, Query]:
+    """The queries; with `partitions`, input tables are dealt out over so many tasks as they are read."""
+    return {
+        name: lambda spark, folder, fn=fn: fn(Tables(spark, folder, partitions))
+        for name, fn in _REGISTRY.items()
+    }
 
 
 def joined(items: Column) -> Column:
@@ -298,7 +302,7 @@ def _(t: Tables) -> DataFrame:
 @query("mask_paragraphs")
 def _(t: Tables) -> DataFrame:
     """Each document with the name of its own file."""
-    units = t.note_units().join(t.notes().select("doc_id", "file_name"), "doc_id")
+    units = t.note_units().join(t.corpus().select("doc_id", "file_name"), "doc_id")
     return tables.mask_paragraphs(units, F.col("file_name")).drop("file_name")
 
 
@@ -642,7 +646,7 @@ def _(t: Tables) -> DataFrame:
     sql.register(t.spark)
     return t.spark.sql(
         "SELECT doc_id, normalize_text(text) AS normal, mask_pii(normalize_text(text)) AS masked, "
-        "cleanse_text(text) AS cleansed FROM {docs}",
+        "cleanse_text(text) AS cleansed, cleanse_text(text, file_name) AS cleansed_by_name FROM {docs}",
         docs=t.corpus(),
     )
 
@@ -650,8 +654,10 @@ def _(t: Tables) -> DataFrame:
 @query("pii_spans")
 def _(t: Tables) -> DataFrame:
     sql.register(t.spark)
-    clean_docs(t).createOrReplaceTempView("veiltext_clean_docs")
-    return sql.pii_spans(t.spark, "veiltext_clean_docs")
+    return t.spark.sql(
+        "SELECT d.doc_id, s.entity, s.text, s.start, s.end FROM {docs} d, LATERAL pii_spans(d.text) s",
+        docs=clean_docs(t),
+    )
 
 
 @query("detector_switches")

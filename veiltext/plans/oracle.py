@@ -344,7 +344,7 @@ def _tables() -> dict[str, str]:
     t["note_units"] = (
         "select doc_id, case when page_no % 2 = 0 then 'cell' else 'paragraph' end as unit_kind, "
         "page_no as unit_no, case when (doc_id + page_no) % 10 = 0 then ' Time In ' else text end "
-        "as text from note_pages where doc_id >= 0"
+        "as text from note_pages"
     )
     t["wide"] = notes_sql(", o_custkey, o_orderkey, o_orderpriority").replace("{orders}", "orders")
     t["cells"] = """
@@ -625,7 +625,7 @@ def _selects() -> dict[str, str]:
         "mask_paragraphs": (
             "select *, text <> masked as changed from (select doc_id, unit_kind, unit_no, text, "
             f"{_chain('text', 'file_name')} as masked from (select u.*, n.file_name "
-            "from note_units u join notes n using (doc_id)))"
+            "from note_units u join corpus n using (doc_id)))"
         ),
         "mask_slide_units": (
             "select u.d as doc_id, u.unit_no, s.text as by_span, "
@@ -800,9 +800,10 @@ def _selects() -> dict[str, str]:
         ),
         "stream_counters": "select entity as type, count(*) as items from items group by 1",
         "sql_functions": (
-            "select doc_id, n.text as normal, m.text as masked, c.text as cleansed from norm n "
-            "join masked m using (doc_id) "
-            f"join (select doc_id, {_chain('text')} as text from corpus) c using (doc_id)"
+            "select doc_id, n.text as normal, m.text as masked, c.text as cleansed, "
+            "f.text as cleansed_by_name from norm n join masked m using (doc_id) "
+            f"join (select doc_id, {_chain('text')} as text from corpus) c using (doc_id) "
+            "join cleansed f using (doc_id)"
         ),
         "pii_spans": f"select doc_id, entity, hit as text, {span_cols} from kept where keep",
         "detector_switches": "select doc_id, text as masked from enabled_masked",

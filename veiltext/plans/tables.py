@@ -62,14 +62,20 @@ def notes_sql(extra: str = "") -> str:
 
 
 class Tables:
-    """The input tables under one folder, and the derived ones."""
+    """The input tables under one folder, and the derived ones.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    A file with a single row group is read by a single task, and so is all that is derived from its
+    rows. `partitions` deals rows out evenly behind the scan; tables of many row groups need none.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, partitions: int | None = None) -> None:
         self.spark = spark
         self.folder = folder
+        self.partitions = partitions
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return table.repartition(self.partitions) if self.partitions else table
 
     def notes(self) -> DataFrame:
         orders = self.read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -124,10 +130,10 @@ class Tables:
         )
 
     def note_units(self) -> DataFrame:
-        """Pages of notes as slide units: even ones are cells, and every tenth is only a label."""
+        """Pages as slide units: even ones are cells, and every tenth is only a label."""
         no = F.col("page_no")
         label = F.when((F.col("doc_id") + no) % 10 == 0, " Time In ").otherwise(F.col("text"))
-        return self.note_pages().filter("doc_id >= 0").select(
+        return self.note_pages().select(
             "doc_id", F.when(no % 2 == 0, "cell").otherwise("paragraph").alias("unit_kind"),
             no.alias("unit_no"), label.alias("text"),
         )

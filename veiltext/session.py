@@ -56,3 +56,26 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of any store that Spark writes to; none if there is no such folder."""
+    store, place = _place(spark, folder)
+    return [entry.getPath().getName() for entry in store.listStatus(place)] if store.exists(place) else []
+
+
+def put_mark(spark: SparkSession, path: str) -> None:
+    """An empty file, and the folders that lead to it."""
+    store, place = _place(spark, path)
+    store.create(place, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A file, or a folder with all that is in it, if there is one."""
+    store, place = _place(spark, path)
+    store.delete(place, True)

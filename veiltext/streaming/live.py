@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veiltext.functions.mask import mask_text
 from veiltext.operators.counts import item_table
+from veiltext.session import names_in, put_mark, remove
 
 
 def masked_stream(docs: DataFrame) -> DataFrame:
@@ -19,13 +20,6 @@ def masked_stream(docs: DataFrame) -> DataFrame:
     )
 
 
-def latest_counts(spark: SparkSession, out_path: str) -> DataFrame:
-    """The totals of the last finished batch."""
-    every = spark.read.parquet(out_path)
-    newest = every.agg(F.max("batch").alias("batch"))
-    return every.join(newest, "batch", "left_semi").drop("batch")
-
-
 def document_stream(spark: SparkSession, path: str, files_per_batch: int | None = None,
                     bytes_per_batch: str | None = None) -> DataFrame:
     """Parquet files of `doc_id, file_name, text` as they arrive, so many or so much a batch."""
@@ -53,19 +47,47 @@ def running_counts(docs: DataFrame) -> DataFrame:
     return item_table(docs).groupBy("type").agg(F.count(F.lit(1)).alias("items"))
 
 
-def start_counters(docs: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the totals: every batch writes all the totals so far into a folder with its number.
+# Snapshots of the totals that stay behind the newest one, for readers that have begun to read.
+KEPT = 8
+
+
+def write_totals(totals: DataFrame, number: int, out_path: str, keep: int = KEPT) -> None:
+    """One snapshot of the totals: the rows, then a mark that says they are whole, then tidying up.
+
+    A snapshot whose mark is there is never written again, so what a reader may be reading stays as it
+    is; a batch that is run again after a crash replaces only a snapshot without a mark. Of the marked
+    ones the newest and `keep` before it stay. Marks go before their rows do, and whatever a crash
+    leaves behind is removed by a later batch.
+    """
+    spark = totals.sparkSession
+    if str(number) in names_in(spark, f"{out_path}/done"):
+        return
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+    put_mark(spark, f"{out_path}/done/{number}")
+    for mark in names_in(spark, f"{out_path}/done"):
+        if int(mark) < number - keep:
+            remove(spark, f"{out_path}/done/{mark}")
+    for name in names_in(spark, out_path):
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < number - keep:
+            remove(spark, f"{out_path}/{name}")
+
+
+def latest_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """The totals of the last finished batch; no rows before there is one.
 
-    Nothing that a reader may be reading is overwritten, and a batch that is run again after a crash
-    replaces only its own folder. `latest_counts` reads the newest.
+    The marks name it: one folder with a bounded number of names is listed, and one snapshot is read.
     """
+    marks = [int(mark) for mark in names_in(spark, f"{out_path}/done")]
+    if not marks:
+        return spark.createDataFrame([], "type string, items bigint")
+    return spark.read.parquet(f"{out_path}/batch={max(marks)}")
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
+def start_counters(docs: DataFrame, out_path: str, checkpoint: str, keep: int = KEPT) -> StreamingQuery:
+    """Keep the totals of everything that has arrived: a snapshot a batch, of which the last few stay."""
     return (
         running_counts(docs).writeStream.outputMode("complete")
-        .foreachBatch(write)
+        .foreachBatch(lambda batch, number: write_totals(batch, number, out_path, keep))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
