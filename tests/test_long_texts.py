@@ -6,8 +6,9 @@ import time
 from pyspark.sql import functions as F
 
 from veiltext import rules
-from veiltext.functions import cleanse, detect, sql
-from veiltext.functions.mask import mask_spans, mask_text
+from veiltext.functions import cleanse, detect, mask, sql
+from veiltext.functions.mask import mask_by_value, mask_spans, mask_text
+from veiltext.functions.spans import scan
 from veiltext.sources import files, sinks
 
 
@@ -65,3 +66,56 @@ def test_csv_keeps_values(spark, tmp_path):
     assert {tuple(r) for r in files.read_csv_docs(spark, str(tmp_path / "plain")).collect()} == {
         tuple(r) for r in plain.collect()
     }
+
+
+def test_many_values_equal_the_ordered_replacement(spark, monkeypatch):
+    """Values that contain, cross or start one another, that stand elsewhere, or that are in a tag."""
+    rng = random.Random(7)
+    bits = ["a@b.org", "555-123-4567", "123-45-6789", " ", "x", "10.0.0.1", "1/2/2024", "4111 1111 1111 1111",
+            ",", "mail ", "[EMAIL]", "AI ", "a@b.org.uk", "555-123-45678", "AB", "\n", "é", "12", "@", "-", "a@b.or"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    text = F.col("text")
+    detectors = rules.VALUE_DETECTORS
+    monkeypatch.setattr(mask, "BLOCK", 8)
+    many = mask._replace_many(text, mask.detect_ranked(text, detectors))
+    # Values of any kind, as names are: short ones, and those that a tag holds.
+    names = F.expr("filter(array('AI', 'a@', 'b', 'EMAIL', '[', 'a@b.org', 'mail ', 'x'), v -> contains(text, v))")
+    spans = F.transform(names, lambda v, i: F.struct(
+        (F.instr(text, v) - 1).alias("start"), (i % 2).alias("rank"), F.concat(F.lit("T"), i % 3).alias("entity"), v.alias("text")
+    ))
+    ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["rank"], s["start"], s["text"], s["entity"].alias("type")
+    ))), lambda s: F.struct(s["text"], s["type"]))
+    bad = rows.select(
+        "text", many.alias("a"), mask.replace_values(text, mask.value_items(text, detectors)).alias("b"),
+        mask._replace_many(text, spans).alias("c"), mask.replace_values(text, ordered).alias("d"),
+    ).filter("a <> b or c <> d").collect()
+    assert not bad, bad[:2]
+
+
+def findings(n):
+    return " ".join(
+        f"Mail user{i}@mail{i % 7}.example.org, or call 555-{i % 900 + 100}-{i % 10000:04d}! Lorem ipsum\n" for i in range(n // 2)
+    )
+
+
+def test_many_findings_take_near_linear_time(spark):
+    sql.register(spark)
+    steps = (mask_by_value, mask_text, lambda t: F.call_function("mask_pii", t))
+    for step in steps:
+        seconds(spark, findings(2000), step)
+        short = seconds(spark, findings(8000), step)
+        long = seconds(spark, findings(16000), step)
+        assert long < 2.5 * short + 2, (short, long)
+
+
+def test_scan_keeps_order_over_blocks(spark):
+    for n in (0, 1, 63, 64, 65, 1000, 5000):
+        row = spark.range(1).select(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.when(i < n, i))).alias("a"))
+        out = row.select(scan(F.col("a"), F.lit(0), "array<int>", lambda s, x: (s + x, s + x, x % 3 != 0))).first()[0]
+        total, want = 0, []
+        for x in range(n):
+            total += x
+            want += [total] if x % 3 else []
+        assert out == want

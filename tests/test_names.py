@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from veiltext.operators import dictionary
+from veiltext.operators import bloom, dictionary, pages as page_rows
 from veiltext.operators.dictionary import dictionary_spans
 from veiltext.operators.pages import mask_pages_doc_entities
 
@@ -45,11 +45,45 @@ def test_names_of_any_shape(spark):
     assert found(spark, TEXTS, NAMES) == want(TEXTS, NAMES)
 
 
-def test_many_first_words_take_the_join(spark, monkeypatch):
-    monkeypatch.setattr(dictionary, "INLINE_WORDS", 2)
+def test_a_filter_that_lets_everything_through(spark, monkeypatch):
+    """The names found don't depend on the filter's size."""
+    monkeypatch.setattr(dictionary, "MOST_BITS", 64)
+    monkeypatch.setattr(dictionary, "LEAST_BITS", 64)
     assert found(spark, TEXTS, NAMES) == want(TEXTS, NAMES)
 
 
+def test_a_million_names_make_few_rows(spark):
+    """Of all words, those that begin no name hardly become rows."""
+    names = spark.range(1_000_000).select(F.concat(F.lit("name"), F.col("id"), F.lit(" Smith")).alias("name"))
+    keys = dictionary.name_keys(names)
+    words, bits = dictionary.first_word_filter(keys)
+    docs = spark.range(200).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(
+            F.when(i == 50, "name").otherwise("word"), (F.col("id") * 100 + i).cast("string")
+        )), F.lit("Smith name7 smith")).alias("text"),
+    )
+    rows = dictionary.words_of(docs, "text", 2, words, bits)
+    assert 400 <= rows.count() < 0.05 * 200 * 103
+    spans = dictionary_spans(docs, names, "PERSON", "names")
+    assert spans.count() == 200
+
+
+def test_filter_holds_every_key(spark):
+    """Maps and arrays of words let all their keys through, and few others."""
+    keys = spark.range(3000).select((F.col("id") % 3).alias("doc"), F.concat(F.lit("k"), F.col("id")).alias("key"))
+    whole = bloom.as_array(keys, "key", 1 << 16)
+    others = spark.range(3000).select(F.concat(F.lit("other"), F.col("id")).alias("key"))
+    assert keys.filter(bloom.in_array(F.col("key"), whole, 1 << 16)).count() == 3000
+    assert others.filter(bloom.in_array(F.col("key"), whole, 1 << 16)).count() < 100
+    maps = bloom.word_rows(keys, "key", 1 << 16, "doc").groupBy("doc").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("words"))
+    met = keys.join(maps, "doc")
+    assert met.filter(bloom.in_map(F.col("key"), F.col("words"), 1 << 16)).count() == 3000
+    crossed = met.filter(bloom.in_map(F.concat(F.col("key"), F.lit("x")), F.col("words"), 1 << 16))
+    assert crossed.count() < 60
+
+
 def test_random_names(spark):
     rng = random.Random(4)
     bits = ["a", "b", "ab", " ", "  ", ".", "'", "-", ", "]
@@ -107,6 +141,20 @@ def test_random_page_entities(spark):
         assert rows[d, p] == t
 
 
+def test_key_rows_are_few(spark, folder):
+    """Rows of keys are at most twice the entities that do occur on pages."""
+    from veiltext.operators import counts
+    from veiltext.plans.tables import Tables
+
+    t = Tables(spark, folder)
+    entities = counts.span_table(t.corpus(), resolved=True).select("doc_id", "entity", "text", "start")
+    keyed = page_rows.keyed_entities(entities)
+    rows = page_rows.page_key_rows(t.note_pages(), page_rows.document_filters(keyed)).count()
+    hits = t.note_pages().alias("p").join(keyed.alias("e"), "doc_id").filter(
+        F.contains(F.col("p.text"), F.col("e.text"))).count()
+    assert 0 < hits and rows <= 2 * hits
+
+
 def test_names_reach_documents_and_items(spark):
     from veiltext.operators.counts import item_table
     from veiltext.operators.documents import artifacts

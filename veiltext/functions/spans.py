@@ -21,6 +21,7 @@ RANKED = (
     "array<struct<start:int,shorter:int,rank:int,entity:string,text:string,"
     "end:int,source:string>>"
 )
+LEAST_BLOCK = 64
 PAIRS = "array<struct<hit:string,gap:string,rank:int,entity:string>>"
 
 
@@ -44,31 +45,32 @@ def ranked_span(start: Column, end: Column, rank: Column | int, entity: Column |
 
 
 def scan(items: Column, state: Column, out_type: str,
-         step: Callable[[Column, Column], tuple[Column, Column, Column]], block: int = 256) -> Column:
+         step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
     """One pass over an array that carries a state and emits elements.
 
-    `step(state, item)` gives the next state, the element, and whether to emit it. Appending copies
-    the array, so elements are gathered per block and the blocks appended: near linear in time.
+    `step(state, item)` gives the next state, the element, and whether to emit it. A fold hands on its
+    whole state with every item, so a block of items is folded by itself and its elements are appended
+    to those of the blocks before. With blocks as long as there are blocks, that is near linear in time.
     """
     none = F.array().cast(out_type)
 
     def inner(acc: Column, item: Column) -> Column:
         after, element, emit = step(acc["state"], item)
         out = F.when(emit, F.array_append(acc["out"], element)).otherwise(acc["out"])
-        return F.struct(after.alias("state"), out.alias("out"), acc["done"].alias("done"))
+        return F.struct(after.alias("state"), out.alias("out"))
 
     def outer(acc: Column, part: Column) -> Column:
-        begin = F.struct(acc["state"].alias("state"), none.alias("out"), acc["done"].alias("done"))
-        return F.aggregate(part, begin, inner, lambda r: F.struct(
-            r["state"].alias("state"), F.array_append(r["done"], r["out"]).alias("done")
+        begin = F.struct(acc["state"].alias("state"), none.alias("out"))
+        return let(F.aggregate(part, begin, inner), lambda r: F.struct(
+            r["state"].alias("state"), F.array_append(acc["done"], r["out"]).alias("done")
         ))
 
     def run(all_items: Column) -> Column:
-        last = F.greatest(F.floor((F.size(all_items) - 1) / block).cast("int"), F.lit(0))
-        parts = F.transform(
-            F.sequence(F.lit(0), last),
-            lambda b: F.slice(all_items, b * block + 1, F.lit(block)),
-        )
+        def cut(block: Column) -> Column:
+            last = F.greatest(F.floor((F.size(all_items) - 1) / block).cast("int"), F.lit(0))
+            return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_items, b * block + 1, block))
+
+        parts = let(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt(F.size(all_items))).cast("int")), cut)
         begin = F.struct(state.alias("state"), F.array().cast(f"array<{out_type}>").alias("done"))
         return F.aggregate(parts, begin, outer, lambda acc: F.flatten(acc["done"]))
 

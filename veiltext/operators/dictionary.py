@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +10,11 @@ from veiltext.functions.detect import is_person_name, matches
 from veiltext.functions.mask import mask_by_offset
 from veiltext.functions.spans import detect_ranked, resolve_overlaps, scan, with_extra
 from veiltext.functions.text import normalize_text, strip
+from veiltext.operators import bloom
 
 WORD = r"[\p{L}\p{N}_]+"
-# First words of a table up to this many are tested inside the row, before words become rows.
-INLINE_WORDS = 4096
+# Bits of the filter of first words for each of them, and at least and at most: 8 KiB and 8 MiB.
+BITS_A_WORD, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 
 
 def name_key(name: Column) -> Column:
@@ -39,11 +38,20 @@ def name_keys(names: DataFrame) -> DataFrame:
     ))
 
 
-def words_of(docs: DataFrame, text: str, ahead: int, first: Collection[str] | None = None) -> DataFrame:
-    """One row per word: `doc_id, start, first`, and the words and gaps from there on.
+def first_word_filter(keys: DataFrame) -> tuple[Column, int]:
+    """A Bloom filter of the names' first words, and its bits: 16 a word, so it lets about one word in
+    seventy through that begins no name, and 8 MiB at most."""
+    first = keys.select("first").distinct()
+    bits = min(max(LEAST_BITS, 1 << (BITS_A_WORD * first.count() - 1).bit_length()), MOST_BITS)
+    return bloom.as_array(first, "first", bits), bits
+
+
+def words_of(docs: DataFrame, text: str, ahead: int, words: Column, bits: int) -> DataFrame:
+    """One row per word that may begin a name: `doc_id, start, first`, and words and gaps from there on.
 
     `_words` has this word and up to `ahead` - 1 more, `_gaps` what stands before each of them and
-    after the last. `first` lists words in lower case; other words are no rows.
+    after the last. `words` is a filter of first words in lower case; a word it doesn't let through
+    never becomes a row.
     """
     hits, gaps, starts = F.col("_hits"), F.col("_all_gaps"), F.col("_starts")
     sizes = F.zip_with(
@@ -54,16 +62,18 @@ def words_of(docs: DataFrame, text: str, ahead: int, first: Collection[str] | No
         begin = at + size["gap"]
         return begin + F.coalesce(size["hit"], F.lit(0)), begin, F.lit(True)
 
-    found = F.transform(hits, lambda word, i: F.struct(i.alias("i"), F.lower(word).alias("first")))
-    if first is not None:
-        found = F.filter(found, lambda w: w["first"].isin(*first))
+    found = F.filter(
+        F.transform(hits, lambda word, i: F.struct(i.alias("i"), F.lower(word).alias("first"))),
+        lambda w: bloom.in_array(w["first"], words, bits),
+    )
+    # A row without such a word gives none, so it needs no filter, which would do the search twice.
     return (
         docs.select(
             "doc_id", matches(F.col(text), WORD).alias("_hits"),
             F.split(F.col(text), WORD, -1).alias("_all_gaps"),
         )
-        .withColumn("_found", found).filter(F.size("_found") > 0)
-        .withColumn("_starts", scan(sizes, F.lit(0), "array<int>", step))
+        .withColumn("_found", found)
+        .withColumn("_starts", F.when(F.size("_found") > 0, scan(sizes, F.lit(0), "array<int>", step)))
         .select("doc_id", F.inline(F.transform("_found", lambda w: F.struct(
             F.get(starts, w["i"]).alias("start"), w["first"].alias("first"),
             F.slice(hits, w["i"] + 1, F.lit(ahead)).alias("_words"),
@@ -80,19 +90,15 @@ def dictionary_spans(docs: DataFrame, names: DataFrame, entity: str, source: str
     white space are the same as one blank. It matches whole words. A name without any letter or
     digit matches nothing.
 
-    Only words that begin a name become rows: a small table of first words is tested inside the
-    row, a large one by a join. Each such word then runs as far as the longest name has words, and
-    runs meet the names in an equi-join. Spark broadcasts the names while their size is under
-    `spark.sql.autoBroadcastJoinThreshold` and shuffles beyond it. Building the query reads the
-    names once, for the longest and for the first words.
+    Only words that begin a name become rows, for a table of any length: a Bloom filter of the first
+    words, built by an aggregation, is tested inside the row. Each such word then runs as far as the
+    longest name has words, and runs meet the names in an equi-join. Spark broadcasts the names while
+    their size is under `spark.sql.autoBroadcastJoinThreshold` and shuffles beyond it. Building the
+    query reads the names, for the longest one and for the filter.
     """
     keys = name_keys(names)
-    some = [r[0] for r in keys.select("first").distinct().limit(INLINE_WORDS + 1).collect()]
     longest = keys.agg(F.max("words")).first()[0] or 1
-    if len(some) <= INLINE_WORDS:
-        words = words_of(docs, text, longest, some)
-    else:
-        words = words_of(docs, text, longest).join(keys.select("first").distinct(), "first", "left_semi")
+    words = words_of(docs, text, longest, *first_word_filter(keys))
 
     hits, gaps = F.col("_words"), F.col("_gaps")
     inner = F.concat(F.array(F.lit("")), F.slice(gaps, 2, F.greatest(F.size(hits) - 1, F.lit(0))))
