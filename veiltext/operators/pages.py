@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veiltext.functions.mask import distinct_items, replace_values, value_spans
 from veiltext.functions.spans import RANKED, empty_ranked
 from veiltext.operators import bloom
+from veiltext.session import stored
 
 # Keys that any occurrence of an entity's text must contain, whatever stands around it: the end of
 # an e-mail's local part with the start of its domain, the last eight characters of a number, or two
@@ -94,9 +95,10 @@ def mask_pages_doc_entities(pages: DataFrame, entities: DataFrame) -> DataFrame:
     `entities` has `doc_id, entity, text, start`. Handing each page its document's whole list would
     multiply pages by entities. Pages and entities meet on a short key instead: a page's keys are
     tested against a filter of its document's, and only those that pass become rows and are joined,
-    so a page gets only texts that may occur on it, in order of first occurrence.
+    so a page gets only texts that may occur on it, in order of first occurrence. The entities are
+    stored first, as they are read for the filter and again for the join.
     """
-    keyed = keyed_entities(entities)
+    keyed = stored(keyed_entities(entities))
     found = page_key_rows(pages, document_filters(keyed))
     hits = found.join(keyed, ["doc_id", "key"]).groupBy("doc_id", "page_no").agg(
         F.array_sort(F.collect_set(F.struct("start", "text", "type"))).alias("items")
