@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,10 +55,26 @@ def stored(df: DataFrame) -> DataFrame:
     each of them, nor after the loss of an executor.
     """
     path = shared_folder(df.sparkSession)
+    for paths in _collecting:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def stored_paths() -> Iterator[list[str]]:
+    """The folders of all tables that `stored` writes meanwhile, for who wants to remove them later."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
+
 
 def _place(spark: SparkSession, path: str) -> tuple:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
