@@ -21,7 +21,6 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 def plain(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -43,8 +42,21 @@ def test_remembered_pieces_change_no_ids(both, text):
         assert np.frombuffer(next(iter(encode([text]))), dtype="<u4").tolist() == library(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(
+    st.sampled_from(list(" \t\n\r'sZé.,1½ab<|>")), st.characters(codec="utf-8"),
+), max_size=8), max_size=40))
+def test_runs_of_pieces_change_no_ids(both, texts):
+    """Many unknown pieces at once, which are encoded in runs."""
+    for path in (WORDS, BYTES):
+        library, known = both[path]
+        fresh = Encoder(path, blanks=path == BYTES) if path == BYTES else known
+        got = [np.frombuffer(x, dtype="<u4").tolist() for x in fresh(texts)]
+        assert got == [library(t) for t in texts]
+
+
 def test_special_strings_and_corpus(both, docs):
-    texts = ["<|endoftext|> x", "a<|startoftext|>", *(r.text for r in docs.limit(60).collect())]
+    texts = ["<|endoftext|> x", "a<|startoftext|>", "x <|endoftext|> y", "a<|ENDOFTEXT|>b c", "in<|endoftext|>side", *(r.text for r in docs.limit(60).collect())]
     for path in (WORDS, BYTES):
         library, encode = both[path]
         assert [np.frombuffer(b, dtype="<u4").tolist() for b in encode(texts)] == [library(t) for t in texts]
