@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veiltext.llm import jaccard, mixing, packing, pii, quality
-from veiltext.session import stored
+from veiltext.session import remove, shared_folder, stored_paths
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -48,18 +49,50 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
 
 
+_scratch: list[str] = []
+
+
+def _after(stage: Stage) -> Stage:
+    """The stage, which first removes the tables that the stage before it stored on its way.
+
+    A stage's result is written before the next one begins, so nothing reads them any more. The last
+    stage's tables stay, as its result may not have been read yet.
+    """
+    @wraps(stage)
+    def step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if stage is not quality_rules:
+            for path in _scratch:
+                remove(spark, path)
+        _scratch.clear()
+        with stored_paths() as paths:
+            found = stage(spark, docs, sf_dir)
+        if stage is not best_fit_packing:
+            _scratch.extend(paths)
+        return found
+
+    return step
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("PII", personal_data),
-    ("mixing sources to target weights", mixed_sources),
-    ("best-fit packing", best_fit_packing),
+    ("quality rules", _after(quality_rules)),
+    ("n-gram Jaccard join", _after(near_duplicates)),
+    ("PII", _after(personal_data)),
+    ("mixing sources to target weights", _after(mixed_sources)),
+    ("best-fit packing", _after(best_fit_packing)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each stage's rows are written and read again by the next.
+
+    What a stage was given is removed when the next one's has been written; what the last was given
+    stays, as its result reads it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = shared_folder(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

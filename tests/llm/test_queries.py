@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from veiltext.llm import pii, quality
 from veiltext.llm import queries as llm
+from veiltext.session import stored
 
 from .test_pairs import plain_groups
 
@@ -46,7 +47,7 @@ def stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = {}
     for name, stage in corpus_pipeline.STAGES:
-        given, docs = docs, corpus_pipeline.stored(stage(spark, docs, folder))
+        given, docs = docs, stored(stage(spark, docs, folder))
         out[name] = (given, docs)
     return out
 
@@ -110,11 +111,11 @@ def test_odd_documents_pass(spark, odd, tmp_path):
     )
     docs = odd
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
+        docs = stored(stage(spark, docs, str(tmp_path)))
     assert docs.count() > 0
     docs = odd.filter("false")
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
+        docs = stored(stage(spark, docs, str(tmp_path)))
     assert docs.count() == 0
 
 

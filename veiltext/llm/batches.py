@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,13 +50,37 @@ def few_keys(keys: DataFrame, limit: int = 1 << 20) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= limit else keys
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, stored once, each with a number of its own in `ROW`.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, each with a number of its own, and the name of the number's column.
 
-    Keys may be null or shared, so what is decided about a row is carried by its number. The numbers
-    are written with the rows: read again, or after a lost task, a row still has the same one.
+    Keys may be null or shared, so what is decided about a row is carried by its number. Rows that are
+    read from files have a place already: the number is made of a hash of the file's name, with as many
+    bits as the rows' places leave (the hash is seeded anew until no two files share one), and of the
+    row's place in the file. Read again, or after a lost task, a row has the same one, and nothing is
+    copied. Other rows are stored once with numbers. The name is one that `docs` doesn't have.
     """
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    name = ROW
+    while name in docs.columns:
+        name += "_"
+    try:
+        path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        # One row per file; neither texts nor other columns are read.
+        files = stored(docs.select(path.alias("path"), place.alias("place")).groupBy("path").agg(
+            F.max("place").alias("last")
+        ))
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
+    count, last = files.agg(F.count(F.lit(1)), F.max("last")).first()
+    bits = max((last or 0).bit_length(), 1)
+    seed = 0
+
+    def file_no(file: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(file, F.lit(seed)), bits + 1)
+
+    while files.select(file_no(F.col("path"))).distinct().count() < count:
+        seed += 1
+    number = F.shiftleft(file_no(path), bits).bitwiseOR(place)
+    return docs.select("*", number.alias(name)), name
 
 
 def annotated(docs: DataFrame, find: Callable[[list[str]], list], found: str,

@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import ROW, few_keys, numbered, remembered, small_batches
+from veiltext.llm.batches import few_keys, numbered, remembered, small_batches
 from veiltext.llm.components import components
 from veiltext.session import stored
 
 GROUP_CHARS = 1 << 20
+SHORT_SEARCH = 64
 KNOWN_WORDS = 1 << 18
 # Shingles with a hash in the first part of the range come first in the order of all shingles. Their
 # lists are counted over all documents. The part is a little more than the share of a set that a
@@ -323,7 +324,14 @@ def links(docs: DataFrame, heads: DataFrame, classes: DataFrame, size: int, rule
         sizes.groupBy("token").agg(F.max(F.struct("m", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
         .filter("parts > 1").select("token", F.col("most.part").alias("main"))
     )
-    open_lists = stored(marked.join(main, "token").join(classes.select("class", *BITS), "class"))
+    still_open = stored(marked.join(main, "token"))
+    # A pair shares many shingles; it is made at the first of them in the order alone, which is found
+    # where both searches are short. (A long one would carry its shingles with each of them.)
+    in_order = F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("place"), "token")))
+    searches = still_open.groupBy("class").agg(in_order.alias("s")).select(
+        "class", F.when(F.size("s") <= SHORT_SEARCH, F.col("s.token")).alias("search")
+    )
+    open_lists = stored(still_open.join(searches, "class").join(classes.select("class", *BITS), "class"))
     x = open_lists.filter("part <> main").alias("x")
     y = open_lists.alias("y")
     # At the first shingle that two sets share, what either has left bounds what they share.
@@ -331,8 +339,10 @@ def links(docs: DataFrame, heads: DataFrame, classes: DataFrame, size: int, rule
     both = F.col("x.n") + F.col("y.n")
     most = F.least("x.left", "y.left", (both - differ) / 2)
     able = most * (rule.den + rule.num) >= both * rule.num
+    shared_first = F.get(F.array_intersect("x.search", "y.search"), F.lit(0))
+    first_here = F.coalesce(shared_first == F.col("x.token"), F.lit(True))
     pairs = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & able)
+        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & able & first_here)
         .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
         .distinct()
     )
@@ -378,15 +388,15 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> D
 
     Groups are made of rows, whatever their keys: a null key comes after all others, and of rows
     that share their group's smallest key one stays. Rows without words are groups of their own.
-    The rows are stored with numbers; the numbers that go are few beside the texts, so texts are
+    Rows are known by their numbers; the numbers that go are few beside the texts, so texts are
     moved only if those are too many to broadcast.
     """
-    rows = numbered(docs)
-    groups = jaccard_groups(rows.select(F.col(ROW).alias("doc_id"), "text"), size, num, den).select(
-        F.col("doc_id").alias(ROW), "component_id"
+    rows, row = numbered(docs)
+    groups = jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text"), size, num, den).select(
+        F.col("doc_id").alias(row), "component_id"
     )
-    found = stored(groups.join(rows.select(ROW, "doc_id"), ROW))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
-    stays = found.groupBy("component_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
-    gone = few_keys(stored(found.select(ROW).join(stays, ROW, "left_anti")))
-    return rows.join(gone, ROW, "left_anti").select(*(rows[name] for name in docs.columns))
+    found = stored(groups.join(rows.select(row, F.col("doc_id").alias("_id")), row))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", row)).alias("first")
+    stays = found.groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row))
+    gone = few_keys(stored(found.select(row).join(stays, row, "left_anti")))
+    return rows.join(gone, row, "left_anti").select(*(rows[name] for name in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import ROW, numbered
+from veiltext.llm.batches import numbered
 from veiltext.llm.prefix import running
 from veiltext.session import stored
 
@@ -207,10 +207,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     A block may cut through a document; here a document of which any words are taken stays whole,
     once for each time it is begun, and one that no block reaches goes. Each row stays as often
-    as it is taken itself, also if its key is null or shared; the rows are stored with numbers.
+    as it is taken itself, also if its key is null or shared; rows are known by their numbers.
     """
-    rows = numbered(docs)
-    documents, _ = mix(rows, carried=(ROW,), **settings)
+    rows, row = numbered(docs)
+    documents, _ = mix(rows, carried=(row,), **settings)
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    taken = documents.filter("taken > 0").select(ROW, F.explode(F.sequence(F.lit(1), times)))
-    return rows.join(taken, ROW).select(*(rows[name] for name in docs.columns))
+    taken = documents.filter("taken > 0").select(F.col(row), F.explode(F.sequence(F.lit(1), times)))
+    return rows.join(taken, row).select(*(rows[name] for name in docs.columns))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import ROW, annotated, few_keys, numbered, remembered, small_batches
+from veiltext.llm.batches import annotated, few_keys, numbered, remembered, small_batches
 from veiltext.session import stored
 
 WORD = re.compile(r"[^ \t-\r]")
@@ -242,11 +242,11 @@ def judged(docs: DataFrame, labels: DataFrame, count: int = 1 << 15, default_lim
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns.
 
-    Each row goes or stays by its own verdict, also if its key is null or shared. The rows are stored
-    with numbers; the numbers that go are few beside the texts, so texts are moved only if those are
+    Each row goes or stays by its own verdict, also if its key is null or shared. Rows are known by
+    their numbers; the numbers that go are few beside the texts, so texts are moved only if those are
     too many to broadcast.
     """
-    rows = numbered(docs)
-    verdicts = judged(rows, labels, keys=("doc_id", ROW))
-    gone = few_keys(stored(verdicts.filter("not kept").select(ROW)))
-    return rows.join(gone, ROW, "left_anti").select(*(rows[name] for name in docs.columns))
+    rows, row = numbered(docs)
+    verdicts = judged(rows, labels, keys=("doc_id", row))
+    gone = few_keys(stored(verdicts.filter("not kept").select(row)))
+    return rows.join(gone, row, "left_anti").select(*(rows[name] for name in docs.columns))
