@@ -150,12 +150,3 @@ def analysis_prompt(content: Column, file_type: Column) -> Column:
 
 def security_prompt(content: Column) -> Column:
     return _fill(rules.SECURITY_PROMPT, content=content)
-
-
-def report_struct(file_name: Column, file_type: Column, clean: Column) -> Column:
-    return F.struct(
-        file_name.alias("file_name"),
-        file_type.alias("file_type"),
-        description(clean).alias("file_description"),
-        key_findings(clean).alias("key_findings"),
-    )

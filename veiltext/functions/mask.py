@@ -61,9 +61,14 @@ def mask_by_offset(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, let(blocks, build)).otherwise(text)
 
 
-def mask_spans(text: Column, detectors: Sequence[Detector] = rules.SPAN_DETECTORS) -> Column:
-    """Detect, resolve and mask without normalising (one slide shape, one cell)."""
-    return let(resolve_overlaps(detect_ranked(text, detectors)),
+def mask_spans(text: Column, detectors: Sequence[Detector] = rules.SPAN_DETECTORS,
+               extra: Column | None = None) -> Column:
+    """Detect, resolve and mask without normalising (one slide shape, one cell).
+
+    `extra` holds further spans of this text, of rank 0 (persons, places).
+    """
+    found = detect_ranked(text, detectors)
+    return let(resolve_overlaps(found if extra is None else F.concat(extra, found)),
                lambda spans: mask_by_offset(text, spans))
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veiltext import rules
 from veiltext.functions.insight import keyword_findings, security_info, top_matches
-from veiltext.functions.mask import value_spans
+from veiltext.functions.mask import distinct_items, replace_values, value_spans
 from veiltext.functions.spans import detect_ranked, public_spans, resolve_overlaps, with_extra
 
 
@@ -49,6 +49,29 @@ def redactions_by_type(items: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("items"))
 
 
+def mask_and_count(docs: DataFrame, seen: Observation, entities: Sequence[str]) -> DataFrame:
+    """`doc_id, masked` of every text, counting the items of each type as they are masked.
+
+    The counts are metrics of the same pass over the rows, so there is no second detection, and nothing
+    is shuffled: each task adds up its own and the driver adds those, one number per type. They are in
+    `seen` once the rows have been written.
+    """
+    def of(entity: str) -> Column:
+        return F.sum(F.size(F.filter("_items", lambda s: s["entity"] == entity))).alias(entity)
+
+    items = docs.select("doc_id", "text", value_spans(F.col("text")).alias("_items"))
+    counted = items.observe(seen, *map(of, entities))
+    return counted.select(
+        "doc_id", replace_values(F.col("text"), distinct_items(F.col("_items"))).alias("masked")
+    )
+
+
+def observed_counts(spark: SparkSession, seen: Observation) -> DataFrame:
+    """What `mask_and_count` has counted, as `redactions_by_type` gives it."""
+    rows = [(f"{entity.lower()}_redacted", n) for entity, n in seen.get.items() if n]
+    return spark.createDataFrame(rows, "counter string, items bigint")
+
+
 def files_outcome(outcomes: DataFrame) -> DataFrame:
     """Processed, successful and failed files; `outcomes` has a boolean `success`."""
     return outcomes.agg(
@@ -113,5 +136,3 @@ def security_top(docs: DataFrame, text: str = "text", limit: int = 10) -> DataFr
         F.posexplode(top_matches(F.col("matches"), limit)).alias("place", "match"),
     )
 
-
-CATEGORIES = tuple(name for name, _, _ in rules.SECURITY)

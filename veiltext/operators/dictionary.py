@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veiltext import rules
 from veiltext.functions.detect import is_person_name, matches
 from veiltext.functions.mask import mask_by_offset
-from veiltext.functions.spans import detect_ranked, resolve_overlaps, scan, with_extra
+from veiltext.functions.spans import (
+    detect_ranked,
+    empty_ranked,
+    ranked_per_doc,
+    resolve_overlaps,
+    scan,
+    with_extra,
+)
 from veiltext.functions.text import normalize_text, strip
 from veiltext.operators import bloom
 
@@ -164,3 +173,18 @@ def mask_with_names(docs: DataFrame, names: DataFrame) -> DataFrame:
             mask_by_offset(F.col("text"), F.col("_spans")).alias("cleaned_text"),
         )
     )
+
+
+def with_person_spans(rows: DataFrame, names: DataFrame | None, text: Column, keys: Sequence[str]) -> DataFrame:
+    """The rows (cells, slide units, pages) with `_extra`: the persons of a name table in each one's text.
+
+    `keys` tell the rows apart. Only rows with a name in them are joined to their names; without a
+    table there are none, and nothing is joined.
+    """
+    if names is None:
+        return rows.withColumn("_extra", empty_ranked())
+    key = F.to_json(F.struct(*keys))
+    found = person_spans(rows.select(key.alias("doc_id"), text.alias("text")), names)
+    per_row = ranked_per_doc(found).withColumnRenamed("doc_id", "_key")
+    joined = rows.withColumn("_key", key).join(per_row, "_key", "left").drop("_key")
+    return joined.withColumn("_extra", F.coalesce("_extra", empty_ranked()))

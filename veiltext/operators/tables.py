@@ -12,6 +12,7 @@ from veiltext.functions.cleanse import cleanse_text
 from veiltext.functions.detect import is_structural_label
 from veiltext.functions.mask import mask_by_value, mask_cell_by_value, mask_spans
 from veiltext.functions.text import is_blank, strip
+from veiltext.operators.dictionary import with_person_spans
 
 
 def mask_table_strings(df: DataFrame, file_name: Column | None = None,
@@ -39,10 +40,14 @@ def mask_table_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     ])
 
 
-def mask_cells_long(cells: DataFrame) -> DataFrame:
-    """Span masking per cell; null becomes empty, blank stays."""
+def mask_cells_long(cells: DataFrame, names: DataFrame | None = None,
+                    keys: Sequence[str] = ("doc_id", "sheet_no", "row", "col_no")) -> DataFrame:
+    """Span masking per cell; null becomes empty, blank stays. `names` are persons to be masked too."""
     value = F.coalesce("value", F.lit(""))
-    return cells.withColumn("value", F.when(is_blank(value), value).otherwise(mask_spans(value)))
+    found = with_person_spans(cells, names, value, keys)
+    extra = None if names is None else F.col("_extra")
+    masked = F.when(is_blank(value), value).otherwise(mask_spans(value, extra=extra))
+    return found.withColumn("value", masked).drop("_extra")
 
 
 def mask_paragraphs(units: DataFrame, file_name: Column | None = None) -> DataFrame:
@@ -53,9 +58,13 @@ def mask_paragraphs(units: DataFrame, file_name: Column | None = None) -> DataFr
     )
 
 
-def mask_slide_units_spans(units: DataFrame) -> DataFrame:
-    """Span masking of every shape and cell by itself."""
-    return units.withColumn("masked", mask_spans(F.coalesce("text", F.lit(""))))
+def mask_slide_units_spans(units: DataFrame, names: DataFrame | None = None,
+                           keys: Sequence[str] = ("doc_id", "unit_no")) -> DataFrame:
+    """Span masking of every shape and cell by itself. `names` are persons to be masked too."""
+    text = F.coalesce("text", F.lit(""))
+    found = with_person_spans(units, names, text, keys)
+    extra = None if names is None else F.col("_extra")
+    return found.withColumn("masked", mask_spans(text, extra=extra)).drop("_extra")
 
 
 def mask_slide_units_values(units: DataFrame) -> DataFrame:

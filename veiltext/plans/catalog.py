@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veiltext import rules
@@ -299,6 +299,16 @@ def _(t: Tables) -> DataFrame:
     return tables.mask_cells_long(t.cells())
 
 
+@query("mask_cells_names")
+def _(t: Tables) -> DataFrame:
+    return tables.mask_cells_long(t.cells(), t.names())
+
+
+@query("mask_slide_units_names")
+def _(t: Tables) -> DataFrame:
+    return tables.mask_slide_units_spans(t.note_units(), t.names()).select("doc_id", "unit_no", "masked")
+
+
 @query("mask_paragraphs")
 def _(t: Tables) -> DataFrame:
     """Each document with the name of its own file."""
@@ -578,6 +588,15 @@ def _(t: Tables) -> DataFrame:
     return counts.redactions_by_type(_items(t))
 
 
+@query("redactions_observed")
+def _(t: Tables) -> DataFrame:
+    """The corpus masked and written; the counts come from that same pass."""
+    seen = Observation()
+    masked = counts.mask_and_count(t.corpus(), seen, [d.entity for d in rules.VALUE_DETECTORS])
+    masked.write.parquet(shared_folder(t.spark))
+    return counts.observed_counts(t.spark, seen)
+
+
 @query("files_outcome")
 def _(t: Tables) -> DataFrame:
     routed = naming.route_directory(F.col("file_name"))

@@ -426,7 +426,7 @@ def _tables() -> dict[str, str]:
     t["page_items"] = _items("note_pages", "doc_id, page_no")
     t["page_masked"] = _by_value("note_pages", "page_items", "doc_id, page_no")
     t["unit_rows"] = (
-        "select doc_id * 1000 + unit_no as doc_id, doc_id as d, unit_no, unit_kind, text as raw, "
+        "select doc_id * 100000 + unit_no as doc_id, doc_id as d, unit_no, unit_kind, text as raw, "
         "'' as file_name, text from note_units"
     )
     t["unit_spans"] = _spans("unit_rows", rules.SPAN_DETECTORS)
@@ -447,6 +447,16 @@ def _tables() -> dict[str, str]:
     t["cell_order"], _ = _kept("cell_spans")
     t["cell_kept"] = recursion.format(o="cell_order", r="cell_kept")
     t["cell_span_masked"] = _masked("cell_rows", "cell_kept")
+    for kind in ("cell", "unit"):
+        t[f"{kind}_persons"] = _name_spans(f"{kind}_rows")
+        t[f"named_{kind}_spans"] = (
+            f"select doc_id, 0 as rk, 'PERSON' as entity, s, e, hit from {kind}_persons "
+            "where lower(hit) not in ('time in', 'cadence') "
+            f"union all select doc_id, rk, entity, s, e, hit from {kind}_spans"
+        )
+        t[f"named_{kind}_order"], _ = _kept(f"named_{kind}_spans")
+        t[f"named_{kind}_kept"] = recursion.format(o=f"named_{kind}_order", r=f"named_{kind}_kept")
+        t[f"named_{kind}_masked"] = _masked(f"{kind}_rows", f"named_{kind}_kept")
     t["page_entities"] = (
         "select doc_id, hit, min(s) as s, min_by(entity, s) as entity from ("
         "select doc_id, hit, s, entity from kept where keep union all "
@@ -622,6 +632,13 @@ def _selects() -> dict[str, str]:
             "select r.d as doc_id, r.sheet_no, r.sheet, r.\"row\", r.col_no, r.col, m.text as value "
             "from cell_rows r join cell_span_masked m using (doc_id)"
         ),
+        "mask_cells_names": (
+            "select r.d as doc_id, r.sheet_no, r.sheet, r.\"row\", r.col_no, r.col, m.text as value "
+            "from cell_rows r join named_cell_masked m using (doc_id)"
+        ),
+        "mask_slide_units_names": (
+            "select u.d as doc_id, u.unit_no, s.text as masked from unit_rows u join named_unit_masked s using (doc_id)"
+        ),
         "mask_paragraphs": (
             "select *, text <> masked as changed from (select doc_id, unit_kind, unit_no, text, "
             f"{_chain('text', 'file_name')} as masked from (select u.*, n.file_name "
@@ -774,6 +791,9 @@ def _selects() -> dict[str, str]:
         "redactions_by_type": (
             "select lower(entity) || '_redacted' as counter, count(*) as items from items group by 1"
         ),
+        "redactions_observed": (
+            "select lower(entity) || '_redacted' as counter, count(*) as items from items group by 1"
+        ),
         "files_outcome": (
             f"select count(*) as files_processed, count(*) filter (r <> 'fail') as successful, "
             f"count(*) filter (r = 'fail') as failed from (select {_ROUTES['directory']} as r from files)"
