@@ -1,7 +1,7 @@
 import pytest
 
 LONG = " ".join(f"word{i % 977}x{i % 31}" for i in range(30000))
-CLASH = "size int, shard int, n int, class int, row int, block int, part int, target double, _key int, _kept int, taken int"
+CLASH = "size int, shard int, n int, class int, row int, block int, part int, target double, _key int, _kept int, taken int, _row_no int"
 
 
 @pytest.fixture(scope="session")

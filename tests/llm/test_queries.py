@@ -8,8 +8,11 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from veiltext.llm import pii, quality
+from pyspark.sql import functions as F
+
+from veiltext.llm import jaccard, mixing, pii, quality
 from veiltext.llm import queries as llm
+from veiltext.llm.batches import numbered
 from veiltext.session import stored
 
 from .test_pairs import plain_groups
@@ -119,6 +122,46 @@ def test_odd_documents_pass(spark, odd, tmp_path):
     assert docs.count() == 0
 
 
+def test_rows_of_files_have_numbers_of_their_own(spark, docs, tmp_path):
+    """Numbers come from the rows' places in files, whatever is read with them, and copy nothing."""
+    many = spark.createDataFrame([(None, "same")] * 500, "doc_id bigint, text string")
+    many.repartition(7).write.parquet(str(tmp_path / "many"))
+    read = spark.read.parquet(str(tmp_path / "many"))
+    rows, name = numbered(read)
+    assert rows.columns == ["doc_id", "text", name] and rows.select(name).distinct().count() == 500
+    again, same = numbered(spark.read.parquet(str(tmp_path / "many")))
+    assert same == name and again.join(rows.select(name), name).count() == 500
+    clashing, free = numbered(read.withColumn("_row_no", F.lit(7)))
+    assert free not in ("_row_no", *read.columns) and clashing.filter("_row_no = 7").count() == 500
+    stored_rows, name = numbered(many)
+    assert stored_rows.select(name).distinct().count() == 500
+    empty, name = numbered(read.filter("false"))
+    assert empty.count() == 0
+
+
+def test_a_column_named_like_the_number_stays(spark, odd, tmp_path):
+    labels = spark.createDataFrame([(4, 1, 0), (8, 0, 0)], "doc_id bigint, quality int, toxic int")
+    odd.select("doc_id", "text", "source", F.lit(77).alias("_row_no")).write.parquet(str(tmp_path / "odd"))
+    read = spark.read.parquet(str(tmp_path / "odd"))
+    for out in (quality.kept_documents(read, labels), jaccard.one_of_each(read), mixing.mixed_documents(read)):
+        assert out.columns == read.columns and out.count() > 0
+        assert {r._row_no for r in out.collect()} == {77}
+
+
+def test_stages_leave_no_scratch_behind(spark, folder, tmp_path, monkeypatch):
+    """What a stage stored on its way is gone when the next has begun."""
+    import veiltext.session as session
+
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    monkeypatch.setattr(session, "_own", str(tmp_path / "scratch"))
+    assert held is None
+    count = corpus_pipeline.run(spark, folder).count()
+    assert count > 0
+    left = [p for p in (tmp_path / "scratch").iterdir()]
+    # The last stage's input, and what the last stage stored.
+    assert len(left) <= 12
+
+
 def test_library_stands_alone():
     """Nothing outside the subpackage imports it, but for the entry's guard."""
     import pathlib
