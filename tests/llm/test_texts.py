@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -192,6 +193,39 @@ def test_redaction(odd, none):
     assert pii.personal_data(none).count() == 0 and pii.redacted_documents(none).count() == 0
 
 
+def plain_addresses(text):
+    """Every scheme by itself, its brackets counted anew."""
+    found, end = [], 0
+    for m in re.finditer(r"(?=((?:https?|sftp|ftp|wss?|rtsp)://))", text):
+        at, body = m.start(), m.start() + len(m[1])
+        run = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+").match(text, body)
+        if at and re.match("[A-Za-z0-9_]", text[at - 1]) or not run:
+            continue
+        rest = run.group().rstrip(".,;:!?'")
+        while rest.endswith(")") and rest.count("(") < rest.count(")"):
+            rest = rest[:-1].rstrip(".,;:!?'")
+        host = pii._HOST.match(rest)
+        if host and ("." in host[1] or host[1].startswith("[") or host[1].lower() == "localhost") and at >= end:
+            end = body + len(rest)
+            found.append(("url", at, end))
+    return found
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["http://", "ftp://", "sftp://", "wss://", "a", ".b", ")", "(", ".", "/", "@", "[::1]", "localhost",
+                                 ":80", " ", "-", "?x", ")).", "x.org", "é"]), max_size=24).map("".join))
+def test_addresses_equal_a_plain_search(text):
+    assert [s for s in pii.find(text) if s[0] == "url"] == plain_addresses(text)
+
+
+def test_runs_of_schemes_and_brackets_take_linear_time():
+    for text in ("http://" * 150_000, "http://a.b/" + ")" * 1_000_000, "http://(" * 60_000 + ")" * 500_000,
+                 "http://a.b/(" * 80_000 + ")." * 100_000):
+        begin = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - begin < 5
+
+
 def test_long_runs_take_linear_time():
     for text in ("a-" * 200_000 + "b@c.de", "1" * 300_000, "1." * 200_000, "+1" + " (" * 200_000, "@" * 300_000):
         pii.find(text)

@@ -35,6 +35,7 @@ _NUMBER = re.compile(r"[0-9]{8,18}(?![A-Za-z0-9])")
 _VALUE = re.compile(r"[ \t]*[:=][ \t]*([\"']?)([A-Za-z0-9_+/.~-]{8,})\1")
 _KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 _WORDISH = re.compile(r"[A-Za-z0-9_]")
+CLOSING = ".,;:!?'"
 
 
 def luhn(digits: str) -> bool:
@@ -62,6 +63,34 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+class Run:
+    """A stretch of address characters, of which ever later ends are looked at.
+
+    Closing punctuation at its end goes, and closing brackets while there are more of them than opening
+    ones. `ends[k]` is where the run ends when k brackets have gone.
+    """
+
+    def __init__(self, text: str, start: int, stop: int) -> None:
+        self.text, self.start, self.stop = text, start, stop
+        self.open, self.closed = text.count("(", start, stop), text.count(")", start, stop)
+        self.ends = [self._without_marks(stop)]
+        while self.ends[-1] > start and text[self.ends[-1] - 1] == ")":
+            self.ends.append(self._without_marks(self.ends[-1] - 1))
+
+    def _without_marks(self, stop: int) -> int:
+        while stop > self.start and self.text[stop - 1] in CLOSING:
+            stop -= 1
+        return stop
+
+    def start_at(self, start: int) -> None:
+        self.open -= self.text.count("(", self.start, start)
+        self.closed -= self.text.count(")", self.start, start)
+        self.start = start
+
+    def trimmed(self) -> int:
+        return self.ends[min(max(0, self.closed - self.open), len(self.ends) - 1)]
+
+
 class Anchored:
     """What grows out of one text's anchors, left to right, each kind without overlaps."""
 
@@ -69,6 +98,7 @@ class Anchored:
         self.text = text
         self.end = dict.fromkeys(KINDS, 0)
         self.spans: list[Span] = []
+        self.run = Run("", 0, 0)
 
     def _add(self, kind: str, start: int, end: int) -> None:
         if start >= self.end[kind]:
@@ -87,19 +117,29 @@ class Anchored:
         if start < at and (domain := _DOMAIN.match(text, at + 1)):
             self._add("email", start, domain.end())
 
+    def _run(self, body: int) -> Run | None:
+        """The run of address characters from `body` on. Many schemes may stand in one run: it is
+        searched once, and its brackets are counted on from the last scheme."""
+        if body >= self.run.stop:
+            found = _URL.match(self.text, body)
+            if not found:
+                return None
+            self.run = Run(self.text, body, found.end())
+        else:
+            self.run.start_at(body)
+        return self.run
+
     def url(self, at: int, cue: str) -> None:
         """An address: from its scheme to the last character that isn't closing punctuation."""
         if not self._starts_word(at):
             return
         body = at + len(cue)
-        if not (run := _URL.match(self.text, body)):
+        if not (run := self._run(body)):
             return
-        rest = run.group().rstrip(".,;:!?'")
-        while rest.endswith(")") and rest.count("(") < rest.count(")"):
-            rest = rest[:-1].rstrip(".,;:!?'")
-        host = _HOST.match(rest)
+        stop = run.trimmed()
+        host = _HOST.match(self.text, body, stop)
         if host and ("." in host[1] or host[1].startswith("[") or host[1].lower() == "localhost"):
-            self._add("url", at, body + len(rest))
+            self._add("url", at, stop)
 
     def account(self, at: int, cue: str) -> None:
         """An IBAN with right check digits, or 8 to 18 digits, right behind its cue."""
