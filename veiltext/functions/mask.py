@@ -130,8 +130,8 @@ def replace_values(text: Column, items: Column) -> Column:
 
 # Up to so many values are replaced one after the other in the whole text.
 FEW_VALUES = 32
-# A value is looked for by its first characters: eight, or four if it is shorter than eight.
-ANCHORS = (8, 4)
+# A value is looked for by its first characters.
+ANCHOR = 8
 _VALUE = "struct<rank:int,first:int,text:string,entity:string>"
 _PLACED = f"array<struct<start:int,value:{_VALUE}>>"
 
@@ -157,27 +157,24 @@ def _unplaced(blocks: Column, length: Column, placed: Column, values: Column) ->
     """The values that may occur where no span of theirs begins.
 
     That is, those whose first characters are at another place of the text, those that are the start
-    of another value or begin with one, those of less than four characters, and those that may occur in
-    a tag that was put in. `values` is ordered by text.
+    of another value or begin with one, those shorter than that, and those that may occur in a tag that
+    was put in. `values` is ordered by text.
     """
-    def met(starts: Column, n: int, mine: Column) -> Column:
-        """Values whose first `n` characters occur from a place on that is no span's start."""
+    def met(starts: Column, mine: Column) -> Column:
+        """Values whose first characters occur from a place on that is no span's start."""
         between = F.transform(
             F.concat(F.array(F.lit(-1)), starts),
             lambda s, i: _cut(
-                blocks, s + 1, F.least(length, F.coalesce(F.get(starts, i), length) + F.lit(n - 1))
+                blocks, s + 1, F.least(length, F.coalesce(F.get(starts, i), length) + F.lit(ANCHOR - 1))
             ),
         )
-        grams = F.flatten(F.transform(between, lambda t: F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))))
-        first = F.array_distinct(F.transform(mine, lambda v: F.substring(v["text"], 1, n)))
+        grams = F.flatten(F.transform(between, lambda t: F.regexp_extract_all(t, F.lit("(?s)(?=(.{%d}))" % ANCHOR), F.lit(1))))
+        first = F.array_distinct(F.transform(mine, lambda v: F.substring(v["text"], 1, ANCHOR)))
         return let(
             F.array_intersect(first, grams),
-            lambda hits: F.filter(mine, lambda v: F.array_contains(hits, F.substring(v["text"], 1, n))),
+            lambda hits: F.filter(mine, lambda v: F.array_contains(hits, F.substring(v["text"], 1, ANCHOR))),
         )
 
-    long, short = ANCHORS
-    size = lambda v: F.length(v["text"])
-
     def touches_tag(v: Column, tags: Column) -> Column:
         return F.rlike(v["text"], F.lit(r"[\[\]]")) | F.exists(tags, lambda t: F.contains(t, v["text"]))
 
@@ -189,12 +186,9 @@ def _unplaced(blocks: Column, length: Column, placed: Column, values: Column) ->
         F.startswith(F.get(values, i + 1)["text"], v["text"]), F.lit(False)
     ))
     starts = F.sort_array(F.array_distinct(F.transform(placed, lambda p: p["start"])))
-    elsewhere = let(starts, lambda s: F.concat(
-        met(s, long, F.filter(values, lambda v: size(v) >= long)),
-        met(s, short, F.filter(values, lambda v: (size(v) < long) & (size(v) >= short))),
-    ))
+    elsewhere = let(starts, lambda s: met(s, F.filter(values, lambda v: F.length(v["text"]) >= ANCHOR)))
     tags = F.array_distinct(F.transform(values, lambda v: v["entity"]))
-    odd = let(tags, lambda t: F.filter(values, lambda v: (size(v) < short) | touches_tag(v, t)))
+    odd = let(tags, lambda t: F.filter(values, lambda v: (F.length(v["text"]) < ANCHOR) | touches_tag(v, t)))
     return F.concat(
         elsewhere, odd, roots, scan(values, F.lit(None).cast("string"), f"array<{_VALUE}>", related),
     )
