@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from veiltext.session import stored
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-BYTES = 16 << 20
+BYTES = 4 << 20
 T = TypeVar("T")
 ROW = "_row_no"
 
@@ -39,11 +39,17 @@ def remembered(name: str, make: Callable[[], T]) -> T:
     Workers serve the tasks of many stages; if each stage's memory stayed, they would add up.
     """
     if name not in _held:
-        _held.clear()
+        forget()
         _held[name] = make()
     return _held[name]
 
 
+def forget() -> None:
+    """Give back what a worker has kept from earlier stages: its memory of words, and Arrow's buffers."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def few_keys(keys: DataFrame, limit: int = 1 << 20) -> DataFrame:
     """A stored table of keys, one number or a little more a row: broadcast up to `limit` rows, so
     that what it joins stays where it is; beyond that a plain side of a shuffled join."""

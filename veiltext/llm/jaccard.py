@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import few_keys, numbered, remembered, small_batches
+from veiltext.llm.batches import few_keys, forget, numbered, remembered, small_batches
 from veiltext.llm.components import components
 from veiltext.session import stored
 
 GROUP_CHARS = 1 << 20
 SHORT_SEARCH = 64
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 17
 # Shingles with a hash in the first part of the range come first in the order of all shingles. Their
 # lists are counted over all documents. The part is a little more than the share of a set that a
 # search looks at, so that it seldom has to look at shingles that aren't counted.
@@ -218,6 +218,7 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], rule: Rule, mu: flo
 def _verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """The pairs of each batch that are similar; pairs with the same first set are searched together."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())])
+    forget()
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         left, right = batch.column(2), batch.column(3)

@@ -216,7 +216,7 @@ def transformed(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 50,
     `spm` of 100 of those have the suffix first. A text that is null, empty or holds a mark is plain:
     its output is the text (null: empty) and its two counts of code points are null. Rows with equal
     keys and texts have equal results; further columns are left out; an empty table gives no rows.
-    Memory holds one batch of texts (16 MB, or one text) and its outputs.
+    Memory holds one batch of texts (4 MB, or one text) and its outputs.
     """
     held = checked_marks(marks)
     small_batches(docs.sparkSession)

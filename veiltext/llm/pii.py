@@ -11,7 +11,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veiltext.llm.batches import annotated, small_batches
+from veiltext.llm.batches import annotated, forget, small_batches
 
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -233,6 +233,7 @@ def redacted_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     place = docs.columns.index(text)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             clean = [None if t is None else redact(t) for t in batch.column(place).to_pylist()]
             columns = [*batch.columns[:place], pa.array(clean, pa.string()), *batch.columns[place + 1:]]
