@@ -1,5 +1,6 @@
 """The registered queries: their SQL, the shape of their results, and the pipeline."""
 
+import itertools
 import sys
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from veiltext import session
 from veiltext.llm import jaccard, mixing, pii, quality
 from veiltext.llm import queries as llm
 from veiltext.llm.batches import numbered
@@ -150,16 +152,12 @@ def test_a_column_named_like_the_number_stays(spark, odd, tmp_path):
 
 def test_stages_leave_no_scratch_behind(spark, folder, tmp_path, monkeypatch):
     """What a stage stored on its way is gone when the next has begun."""
-    import veiltext.session as session
-
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    monkeypatch.setattr(session, "_own", str(tmp_path / "scratch"))
-    assert held is None
-    count = corpus_pipeline.run(spark, folder).count()
-    assert count > 0
-    left = [p for p in (tmp_path / "scratch").iterdir()]
+    numbers = itertools.count()
+    for module in (session, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_folder", lambda _: f"{tmp_path}/scratch/{next(numbers)}")
+    assert corpus_pipeline.run(spark, folder).count() > 0
     # The last stage's input, and what the last stage stored.
-    assert len(left) <= 12
+    assert len(list((tmp_path / "scratch").iterdir())) <= 12 < next(numbers)
 
 
 def test_library_stands_alone():
