@@ -1,7 +1,7 @@
 """Token pieces, sequences and files against the tokenizers library used plainly."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -109,6 +109,28 @@ def test_search_never_loses(lengths):
     assert (fill**2).sum() >= (np.bincount(first, weights=lengths) ** 2).sum()
 
 
+def test_search_tries_every_bin():
+    """A giver that can give stands behind more than 64 that can't."""
+    lengths = np.array([*[70] * 100, 60, 12, 71, 10])
+    bins = np.array([*range(100), 100, 100, 101, 101])
+    search = Search(lengths, bins, 100)
+    asked = []
+    step = search._step
+    search._step = lambda giver: asked.append(giver) or step(giver)
+    search.run()
+    assert set(asked) >= set(np.unique(search.bin).tolist())
+
+
+def test_equal_rows_are_spread(spark):
+    """Copies of one row with a null key are dealt like any others."""
+    cut = spark.range(3000, numPartitions=5).selectExpr(
+        "cast(null as bigint) as doc_id", "0 as piece", "0L as start", "700L as length", "5L as ids_crc32"
+    )
+    rows = pack(cut, 2048, group_rows=300).collect()
+    groups = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 3000 and len(groups) == 10 and max(groups.values()) < 450
+
+
 def test_search_frees_a_bin():
     # Three bins of 10: [6, 3], [6, 3], [4, 2]; swaps fill two and a half.
     lengths = np.array([6, 6, 4, 3, 3, 2])

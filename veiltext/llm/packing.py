@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veiltext.llm.batches import small_batches
+from veiltext.llm.batches import numbered, small_batches
 from veiltext.llm.tokens import ID, encoder
 from veiltext.session import stored
 
@@ -91,8 +91,9 @@ class Search:
     The emptiest bin gives. Each step puts one or two of its documents into another bin that is at
     least as full, in return for none (a move), one or two smaller ones, so that the other bin gets
     fuller by as much as possible and the giver emptier. Squared fills grow with each step, so the
-    search ends. A bin that has given all it had is gone. Givers are tried from the emptiest on
-    until as many bins are gone as the free room could spare, or none can give any more.
+    search ends. A bin that has given all it had is gone. Each bin is a giver once, from the emptiest
+    on, and gives for as long as it can; the search is over before that only when as many bins are
+    gone as the free room could spare.
     """
 
     def __init__(self, lengths: np.ndarray, bins: np.ndarray, capacity: int) -> None:
@@ -154,12 +155,9 @@ class Search:
             if not able:
                 break
             giver = min(able, key=lambda b: self.fill[b])
-            before = self.fill[giver]
             while self.fill[giver] and self._step(giver):
                 pass
             tried.add(giver)
-            if self.fill[giver] == before and len(tried) >= 64:
-                break  # the fuller a giver, the less it can give
         return self.bin
 
 
@@ -180,17 +178,17 @@ def _pack(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(cut: DataFrame, capacity: int = 2048, group_rows: int = 16384) -> DataFrame:
     """The pieces with `sequence_id` and `offset`: sequences of at most `capacity` ids, gapless.
 
-    Pieces are dealt by hash into groups of about `group_rows`, as many groups as the table needs,
-    so each group sees the same mix of lengths and is packed by one task in bounded memory: best fit
-    first, then the swap-based search. What a group can't fill is at most a few sequences among
-    thousands. Numbers of sequences are unique; an empty table gives no rows. Every row is packed,
-    repeated ones too. `cut` should be stored, as it is read twice.
+    Pieces are dealt by a hash of their row's number into groups of about `group_rows`, as many groups
+    as the table needs, so each group sees the same mix of lengths, equal rows are spread like others,
+    and a group is packed by one task in bounded memory: best fit first, then the swap-based search.
+    What a group can't fill is at most a few sequences among thousands. Numbers of sequences are
+    unique; an empty table gives no rows. Every row is packed, repeated ones too. `cut` should be
+    stored, as it is read twice; a row's number is its place in the stored files.
     """
     groups = max(1, -(-cut.count() // group_rows))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields)
-    dealt = cut.withColumn(
-        "_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups))
-    )
+    rows, number = numbered(cut)
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(number), F.lit(groups))).drop(number)
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         return _pack(rows, capacity)
