@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veiltext.llm import jaccard, topk, warc
 from veiltext.llm.components import components
@@ -176,6 +177,34 @@ def test_top_k_edges(spark):
     assert topk.top_k(topk.bit_sliced_index(vectors.filter("false")), vectors.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("sizes, bits", [
+    ([1.0, 1e9, -1e9, 3e11, -(2.0**40), 1e17, 3e38, -3e38, 0.3, 1e-30], (63, 300)),
+    ([1.0, 1e6, 3e6, -7e5, 2e6, 0.3], (53, 63)),
+])
+def test_top_k_of_large_components(spark, sizes, bits):
+    """Every finite vector takes part; ranks are exact where scores leave 53 and 64 bits."""
+    rng = random.Random(5)
+    rows = [(i, [float(np.float32(rng.choice(sizes) * rng.choice([1, 0.7]))) for _ in range(4)]) for i in range(90)]
+    rows += [(90, [sizes[1], sizes[2]] * 2), (91, [sizes[2], sizes[1]] * 2), (92, [sizes[-3]] * 4), (93, [sizes[3]] * 4)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    vectors = topk.quantised(frame.withColumn("score", F.lit(1)))
+    assert vectors.count() == len(rows)
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    for block in (16, 200):
+        found = topk.top_k(topk.bit_sliced_index(vectors, block), vectors.filter("vec_id % 10 < 3"), 20)
+        want = plain_top(whole, [r for r in whole if r[0] % 10 < 3], 20)
+        held = {(q, n, i, min(max(s, -2**63), 2**63 - 1)) for q, n, i, s in want}
+        assert {tuple(r) for r in found.collect()} == held
+    assert any(2**bits[0] < abs(s) < 2**bits[1] for _, _, _, s in want)
+
+
+def test_order_of_scores_beyond_a_long():
+    scores = sorted([0, 2**63 - 1, 2**63, 2**63 + 1, 2**80, 2**200, -2**63, -2**63 - 1, -2**64, -2**64 - 1, -2**80, -2**200])
+    held = [(min(max(s, -2**63), 2**63 - 1), topk._beyond(s)) for s in scores]
+    assert held == sorted(held) and len(set(held)) == len(held)
+
+
 # --- archives ---------------------------------------------------------------------------------
 def test_archives(spark, tmp_path):
     long = "x" * 120
