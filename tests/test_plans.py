@@ -14,6 +14,7 @@ def plan(df):
 
 SINKS = {
     "file_inventory", "read_text_docs", "read_csv_docs", "write_clean_text", "write_report_json",
+    "write_report_array",
     "write_masked_csv", "stream_cleanse", "stream_counters", "redactions_observed",
 }
 

@@ -108,6 +108,17 @@ def _(t: Tables) -> DataFrame:
     return back.withColumn("key_findings", joined(F.col("key_findings")))
 
 
+@query("write_report_array")
+def _(t: Tables) -> DataFrame:
+    folder = shared_folder(t.spark)
+    sinks.write_report_array(report_rows(t.corpus()), folder)
+    back = sinks.read_report_array(
+        t.spark, folder, "doc_id bigint, file_name string, file_type string, "
+        "file_description string, key_findings array<string>",
+    )
+    return back.withColumn("key_findings", joined(F.col("key_findings")))
+
+
 @query("write_masked_csv")
 def _(t: Tables) -> DataFrame:
     """All columns of the grid: nulls, blank cells, and blanks around values stay as they were."""

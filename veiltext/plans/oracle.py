@@ -539,6 +539,7 @@ def _selects() -> dict[str, str]:
             "from masked m join corpus c using (doc_id)"
         ),
         "write_report_json": "select * from reports",
+        "write_report_array": "select * from reports",
         "write_masked_csv": (
             "select cast(g.doc_id as varchar) as doc_id, g.file_name, "
             "case when m.n > 0 then m.masked else g.note end as note, g.label, "

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veiltext.functions.naming import (
@@ -16,6 +18,7 @@ from veiltext.functions.naming import (
     safe_filename,
     stable_id,
 )
+from veiltext.session import stored
 
 
 def write_clean_text(artifacts: DataFrame, path: str) -> None:
@@ -30,6 +33,37 @@ def write_report_json(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").json(path)
 
 
+def write_report_array(reports: DataFrame, path: str, order: Sequence[str] = ("doc_id",)) -> None:
+    """All reports as one JSON array, in the given order, written by many tasks.
+
+    The part files, joined in the order of their names, are the array: a line is a report with the
+    bracket or comma before it, the last line has the closing bracket too. Null fields are written.
+    Reports are stored once; the first and the last are found with partial minima and maxima. Equal
+    reports stay as often as they occur; without any, the one part holds `[]`.
+    """
+    rows = stored(reports.select(
+        F.struct(*order).alias("place"),
+        F.to_json(F.struct(*reports.columns), {"ignoreNullFields": "false"}).alias("report"),
+        F.monotonically_increasing_id().alias("copy"),
+    ))
+    at = F.struct("place", "report", "copy")
+    count, first, last = rows.agg(F.count("*"), F.min(at)["copy"], F.max(at)["copy"]).first()
+    if not count:
+        value = reports.sparkSession.range(1, numPartitions=1).select(F.lit("[]").alias("value"))
+    else:
+        before = F.when(F.col("copy") == first, "[").otherwise(",")
+        after = F.when(F.col("copy") == last, "]").otherwise("")
+        value = rows.orderBy("place", "report", "copy").select(F.concat(before, "report", after).alias("value"))
+    value.write.mode("overwrite").text(path)
+
+
+def read_report_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The reports of an array that `write_report_array` wrote, each line by itself."""
+    line = F.regexp_replace(F.substring("value", 2, 2**31 - 1), r"\]$", "")
+    found = spark.read.text(path).filter("value <> '[]'")
+    return found.select(F.from_json(line, schema).alias("r")).select("r.*")
+
+
 def write_masked_csv(grid: DataFrame, path: str) -> None:
     """A masked grid with its header and no index. Values keep blanks around them; a null cell is
     nothing, an empty one a pair of quotes (which readers, Spark's too, mostly take for a null)."""
