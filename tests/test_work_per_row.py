@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from veiltext import rules
 from veiltext.functions import cleanse, spans
 from veiltext.functions.detect import matches
+from veiltext.operators import dictionary
+from veiltext.operators.dictionary import dictionary_spans
 
 TEXTS = [
     "éb@x.com b@x.com", "b@x.com b@x.com.", "a@b.com 555-123-4567 a@b.com", "aaa@a.aa aaaa@a.aa", "", None,
@@ -45,3 +47,16 @@ def test_replaced_one_by_one_or_by_split(spark):
     df = spark.createDataFrame(rows, "t string")
     assert [r[0] for r in df.select(cleanse.cleanse_email(F.col("t"))).collect()] == [
         "éb@x.com [EMAIL]", "[EMAIL] [EMAIL]", "[EMAIL] [EMAIL]", None, "no @ here"]
+
+
+def test_few_and_many_names_give_the_same_spans(spark, monkeypatch):
+    names = spark.createDataFrame([("Ada",), ("Ada Lovelace",), ("J. R. Smith",)], "name string")
+    docs = spark.createDataFrame(
+        [(1, "ADA  lovelace met j. r. smith"), (2, "Adam"), (3, " ".join(["Ada"] * 30)), (4, None)],
+        "doc_id long, text string")
+    assert sorted(dictionary.few_beginnings(dictionary.name_keys(names))) == [("ada", 1), ("ada", 2), ("j", 3)]
+    few = sorted(map(tuple, dictionary_spans(docs, names, "PERSON", "names").collect()))
+    monkeypatch.setattr(dictionary, "FEW_WORDS", 0)
+    monkeypatch.setattr(dictionary, "FEW_FOUND", 0)
+    assert few == sorted(map(tuple, dictionary_spans(docs, names, "PERSON", "names").collect()))
+    assert len(few) == 33
