@@ -7,6 +7,7 @@ from veiltext.functions import cleanse, spans
 from veiltext.functions.detect import matches
 from veiltext.operators import dictionary
 from veiltext.operators.dictionary import dictionary_spans
+from veiltext.plans.tables import Tables
 
 TEXTS = [
     "éb@x.com b@x.com", "b@x.com b@x.com.", "a@b.com 555-123-4567 a@b.com", "aaa@a.aa aaaa@a.aa", "", None,
@@ -60,3 +61,13 @@ def test_few_and_many_names_give_the_same_spans(spark, monkeypatch):
     monkeypatch.setattr(dictionary, "FEW_FOUND", 0)
     assert few == sorted(map(tuple, dictionary_spans(docs, names, "PERSON", "names").collect()))
     assert len(few) == 33
+
+
+def test_a_file_of_many_rows_is_dealt_out(spark, tmp_path):
+    spark.range(60_000).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    t = Tables(spark, str(tmp_path))
+    dealt = t.read("orders")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and max(sizes) < 25_000 and dealt.distinct().count() == 60_000
+    assert t.read("customer").rdd.getNumPartitions() == 1
