@@ -3,8 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veiltext.operators import ocr, ordering
-from veiltext.plans import catalog
+from veiltext import rules
+from veiltext.functions.mask import mask_text
+from veiltext.operators import counts, dictionary, ocr, ordering
+from veiltext.plans import catalog, tables
+from veiltext.sources import files, sinks
+from veiltext.streaming import live
 
 
 @pytest.mark.parametrize("name", [
@@ -43,3 +47,31 @@ def test_entities_without_an_image_mark_no_word(spark):
     found = spark.createDataFrame([(1, "Ada Lovelace"), (1, "ada"), (None, "Bob")], "image_id bigint, text string")
     got = sorted((r.word_no, r.text) for r in ocr.match_entities(words, found).collect())
     assert got == [(0, "Ada,"), (1, "Ada,"), (4, "a@mail.org")]
+
+
+def test_few_files_a_core_are_dealt_out(spark, tmp_path, monkeypatch):
+    """As many files as cores, or some more, would leave cores idle at the end of heavy work."""
+    monkeypatch.setitem(tables.ROWS_A_TASK, "documents", 2)
+    cores = spark.sparkContext.defaultParallelism
+    for name, parts in (("few", cores), ("many", 4 * cores)):
+        docs = spark.range(0, 8 * cores, 1, parts).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    few, many = (tables.Tables(spark, f"{tmp_path}/{name}").read("documents") for name in ("few", "many"))
+    assert few.rdd.getNumPartitions() == 4 * cores and few.count() == 8 * cores
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stream_deals_out_the_rows_of_few_files(spark, tmp_path):
+    """One file of many texts is read by one task, but masked by as many as are wanted."""
+    land, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    rows = [(i, "a.txt", f"user{i}@x.org") for i in range(60)]
+    schema = "doc_id long, file_name string, text string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(land)
+    stream = spark.readStream.schema(schema).parquet(land)
+    live.start_cleanse(stream, out, f"{tmp_path}/s1", tasks=6).awaitTermination()
+    live.start_counters(stream, f"{tmp_path}/totals", f"{tmp_path}/s2", tasks=6).awaitTermination()
+    back = spark.read.parquet(out)
+    want = spark.read.parquet(land).select("doc_id", mask_text(F.col("text")).alias("m")).collect()
+    assert sorted((r.doc_id, r.cleaned_text) for r in back.collect()) == sorted(map(tuple, want))
+    assert len(back.inputFiles()) == 6
+    assert [tuple(r) for r in live.latest_counts(spark, f"{tmp_path}/totals").collect()] == [("EMAIL_ADDRESS", 60)]

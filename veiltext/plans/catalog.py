@@ -659,14 +659,16 @@ def _landed(t: Tables) -> tuple[DataFrame, str]:
 @query("stream_cleanse")
 def _(t: Tables) -> DataFrame:
     stream, folder = _landed(t)
-    live.start_cleanse(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    tasks = t.tasks("orders", "documents")
+    live.start_cleanse(stream, f"{folder}/out", f"{folder}/state", tasks).awaitTermination()
     return t.spark.read.parquet(f"{folder}/out")
 
 
 @query("stream_counters")
 def _(t: Tables) -> DataFrame:
     stream, folder = _landed(t)
-    live.start_counters(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    tasks = t.tasks("orders", "documents")
+    live.start_counters(stream, f"{folder}/out", f"{folder}/state", tasks=tasks).awaitTermination()
     return live.latest_counts(t.spark, f"{folder}/out")
 
 

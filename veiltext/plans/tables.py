@@ -64,6 +64,12 @@ def notes_sql(extra: str = "") -> str:
 # Rows that one task takes when a table is dealt out: an order becomes a note, a document is long.
 ROWS_A_TASK = {"documents": 2_000}
 NARROW_ROWS_A_TASK = 25_000
+# So many files a core keep all cores busy up to the end.
+FILES_A_CORE = 4
+
+
+def _shares(table: DataFrame, rows: int) -> int:
+    return max(1, -(-table.count() // rows))
 
 
 class Tables:
@@ -71,7 +77,8 @@ class Tables:
 
     A file with a single row group is read by a single task, and so is all that is derived from its
     rows. So a table in fewer files than its rows are worth tasks is dealt out evenly behind the scan; the
-    texts of documents only if there are fewer files than cores. `partitions` says how many tasks instead.
+    texts of documents only if there are fewer than `FILES_A_CORE` files a core. `partitions` says how many
+    tasks instead.
     """
 
     def __init__(self, spark: SparkSession, folder: str, partitions: int | None = None) -> None:
@@ -88,11 +95,20 @@ class Tables:
         """Over how many tasks to deal a table out, 0 to leave it as it is. The rows are counted from the
         files' footers."""
         files = len(table.inputFiles())
-        if name in ROWS_A_TASK and files >= self.spark.sparkContext.defaultParallelism:
+        if name in ROWS_A_TASK and files >= FILES_A_CORE * self.spark.sparkContext.defaultParallelism:
             return 0
-        tasks = -(-table.count() // ROWS_A_TASK.get(name, NARROW_ROWS_A_TASK))
+        tasks = _shares(table, ROWS_A_TASK.get(name, NARROW_ROWS_A_TASK))
         return tasks if tasks > files else 0
 
+    def tasks(self, *names: str, rows: int | None = None) -> int:
+        """How many tasks the tables' rows are worth, in whatever files they are; `rows` go to a task."""
+        return sum(
+            _shares(
+                self.spark.read.parquet(f"{self.folder}/{name}.parquet"),
+                rows or ROWS_A_TASK.get(name, NARROW_ROWS_A_TASK),
+            ) for name in names
+        )
+
     def notes(self) -> DataFrame:
         orders = self.read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         return self.spark.sql(notes_sql(), orders=orders)

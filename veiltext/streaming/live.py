@@ -31,10 +31,16 @@ def document_stream(spark: SparkSession, path: str, files_per_batch: int | None
     return reader.parquet(path)
 
 
-def start_cleanse(docs: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
+def dealt_out(docs: DataFrame, tasks: int | None) -> DataFrame:
+    """Each batch's rows over so many tasks. Files are shared out by their bytes, small ones together, so
+    a few tasks may get most of the rows; detection goes by rows and texts. Without `tasks`, as they come."""
+    return docs.repartition(tasks) if tasks else docs
+
+
+def start_cleanse(docs: DataFrame, out_path: str, checkpoint: str, tasks: int | None = None) -> StreamingQuery:
     """Cleanse everything that has arrived, then stop; a later start goes on from there."""
     return (
-        masked_stream(docs).writeStream.format("parquet")
+        masked_stream(dealt_out(docs, tasks)).writeStream.format("parquet")
         .option("path", out_path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -83,10 +89,11 @@ def latest_counts(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.parquet(f"{out_path}/batch={max(marks)}")
 
 
-def start_counters(docs: DataFrame, out_path: str, checkpoint: str, keep: int = KEPT) -> StreamingQuery:
+def start_counters(docs: DataFrame, out_path: str, checkpoint: str, keep: int = KEPT,
+                   tasks: int | None = None) -> StreamingQuery:
     """Keep the totals of everything that has arrived: a snapshot a batch, of which the last few stay."""
     return (
-        running_counts(docs).writeStream.outputMode("complete")
+        running_counts(dealt_out(docs, tasks)).writeStream.outputMode("complete")
         .foreachBatch(lambda batch, number: write_totals(batch, number, out_path, keep))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
