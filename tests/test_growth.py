@@ -75,3 +75,17 @@ def test_a_stream_deals_out_the_rows_of_few_files(spark, tmp_path):
     assert sorted((r.doc_id, r.cleaned_text) for r in back.collect()) == sorted(map(tuple, want))
     assert len(back.inputFiles()) == 6
     assert [tuple(r) for r in live.latest_counts(spark, f"{tmp_path}/totals").collect()] == [("EMAIL_ADDRESS", 60)]
+
+
+def test_texts_without_a_first_word_are_not_cut_into_words(spark, monkeypatch):
+    words = ["ada", "j", "οδος"]
+    texts = ["Ada", "x ada-y", "Adam xAda ada_", "J. R.", "ΟΔΟΣ'Α", "a ΟΔΟΣ", "İada", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.m for r in df.select("doc_id", dictionary.may_begin(F.col("text"), words).alias("m")).orderBy(
+        "doc_id").collect()]
+    assert got[:6] == [True, True, False, True, True, True] and got[7:] == [False, None]
+    names = spark.createDataFrame([("Ada",), ("J. R.",), ("οδος",)], "name string")
+    found = lambda: sorted(map(tuple, dictionary.dictionary_spans(df, names, "PERSON", "n").collect()))
+    short = found()
+    monkeypatch.setattr(dictionary, "FEW_SOUGHT", 0)
+    assert short == found() and len(short) >= 4

@@ -26,6 +26,8 @@ WORD = r"[\p{L}\p{N}_]+"
 BITS_A_WORD, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 # Up to so many first words, with numbers of words, stand in the plan: looking one up is faster than in the filter.
 FEW_WORDS = 1024
+# Up to so many first words are looked for in a text before it is cut into words.
+FEW_SOUGHT = 32
 # Up to so many words that may begin a name have their places summed up one by one.
 FEW_FOUND = 8
 
@@ -65,6 +67,19 @@ def few_beginnings(keys: DataFrame) -> list[tuple[str, int]] | None:
     return [tuple(row) for row in rows] if len(rows) <= FEW_WORDS else None
 
 
+def may_begin(text: Column, words: Sequence[str]) -> Column:
+    """Whether one of few words, in lower case, may stand in a text: one search, true whenever one does.
+
+    A sigma's lower case depends on what follows, and in the text more follows than in the word, so both
+    forms count as one.
+    """
+    sought = sorted({word.replace("ς", "σ") for word in words})
+    pattern = r"(?=[%s])(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])" % (
+        "".join(sorted({word[0] for word in sought})), "|".join(sought)
+    )
+    return F.rlike(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")), F.lit(pattern))
+
+
 def words_of(docs: DataFrame, text: str, ahead: int, words: Column | Sequence[str], bits: int = 0) -> DataFrame:
     """One row per word that may begin a name: `doc_id, start, first`, and words and gaps from there on.
 
@@ -97,9 +112,12 @@ def words_of(docs: DataFrame, text: str, ahead: int, words: Column | Sequence[st
         ))),
         lambda w: w.isNotNull(),
     )
+    cut = matches(F.col(text), WORD)
+    if not bits and 0 < len(words) <= FEW_SOUGHT:
+        cut = F.when(may_begin(F.col(text), words), cut)
     # A row without such a word gives none, so it needs no filter, which would do the search twice.
     return (
-        docs.select("doc_id", text, matches(F.col(text), WORD).alias("_hits"))
+        docs.select("doc_id", text, cut.alias("_hits"))
         .withColumn("_found", found)
         .withColumn("_all_gaps", F.when(F.size("_found") > 0, F.split(F.col(text), WORD, -1)))
         .withColumn("_starts", F.when(~few, scan(sizes, F.lit(0), "array<int>", step)))
