@@ -89,3 +89,17 @@ def test_texts_without_a_first_word_are_not_cut_into_words(spark, monkeypatch):
     short = found()
     monkeypatch.setattr(dictionary, "FEW_SOUGHT", 0)
     assert short == found() and len(short) >= 4
+
+
+def test_items_of_some_types(spark):
+    """A number found by two detectors at one place has the first one's type, as among all types."""
+    docs = spark.createDataFrame([
+        (1, "10.0.0.1 a@x.org 555-123-4567"), (2, "b@x.org"), (3, "4111 1111 1111 1111 on 1/2/2020"), (4, ""),
+        (5, None), (5, "10.0.0.1 10.0.0.1"),
+    ], "doc_id long, text string")
+    every = counts.item_table(docs)
+    for d in rules.VALUE_DETECTORS:
+        got = counts.item_table(docs, types=[d.entity]).collect()
+        want = every.filter(F.col("type") == d.entity).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+    assert counts.item_table(docs, types=[]).count() == 0

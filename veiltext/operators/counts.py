@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veiltext import rules
+from veiltext.functions.detect import bears_item
 from veiltext.functions.insight import keyword_findings, security_info, top_matches
 from veiltext.functions.mask import distinct_items, replace_values, value_spans
 from veiltext.functions.spans import detect_ranked, public_spans, resolve_overlaps, with_extra
@@ -20,16 +21,27 @@ def span_table(docs: DataFrame, text: str = "text", resolved: bool = False) -> D
     return docs.select("doc_id", F.inline(spans))
 
 
-def item_table(docs: DataFrame, *keep: str, text: str = "text", extra: DataFrame | None = None) -> DataFrame:
+def item_table(docs: DataFrame, *keep: str, text: str = "text", extra: DataFrame | None = None,
+               types: Sequence[str] | None = None) -> DataFrame:
     """One row per item of the value detectors, one per (start, end): `doc_id, ..., type, ...`.
 
-    `extra` has further spans of the same texts; they take the place of equal ranges.
+    `extra` has further spans of the same texts; they take the place of equal ranges. With `types`, only
+    items of those types are given, and texts in which their detectors find nothing are left at that.
     """
     if extra is None:
         items = value_spans(F.col(text))
     else:
         docs = with_extra(docs, extra)
         items = value_spans(F.col(text), extra=F.col("_extra"))
+    if types is not None:
+        # Not a filter of the rows, which Spark would put before a table is dealt out.
+        wanted = [d for d in rules.VALUE_DETECTORS if d.entity in types]
+        sought = F.lit(False)
+        if extra is not None:
+            sought = F.lit(True)
+        elif wanted:
+            sought = bears_item(F.col(text), wanted)
+        items = F.filter(F.when(sought, items), lambda s: s["entity"].isin(*types))
     return docs.select("doc_id", *keep, F.explode(items).alias("s")).select(
         "doc_id", *keep, F.col("s.entity").alias("type"), F.col("s.text").alias("text"),
         F.col("s.start").alias("start"), F.col("s.end").alias("end"),

@@ -342,7 +342,7 @@ def _(t: Tables) -> DataFrame:
     found = counts.span_table(clean, resolved=True).unionByName(
         dictionary.person_spans(clean, t.names())
     ).select("doc_id", "entity", "text", "start")
-    machines = counts.item_table(clean).filter("type = 'IP_ADDRESS'")
+    machines = counts.item_table(clean, types=["IP_ADDRESS"])
     return pages.mask_pages_doc_entities(t.note_pages(), found.unionByName(
         machines.select("doc_id", F.col("type").alias("entity"), "text", "start")
     ))
