@@ -7,7 +7,7 @@ from veiltext import rules
 from veiltext.functions.mask import mask_text
 from veiltext.operators import counts, dictionary, ocr, ordering
 from veiltext.plans import catalog, tables
-from veiltext.sources import files, sinks
+from veiltext.sources import files
 from veiltext.streaming import live
 
 
@@ -77,6 +77,23 @@ def test_a_stream_deals_out_the_rows_of_few_files(spark, tmp_path):
     assert [tuple(r) for r in live.latest_counts(spark, f"{tmp_path}/totals").collect()] == [("EMAIL_ADDRESS", 60)]
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(80)], "doc_id long, text string")
+    docs.write.partitionBy("doc_id").text(f"{tmp_path}/docs")
+    held = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        docs = files.read_text_docs(spark, f"{tmp_path}/docs")
+        status = spark.sparkContext.statusTracker()
+        stages = [s for job in status.getJobIdsForGroup("listing") for s in status.getJobInfo(job).stageIds]
+        tasks = [status.getStageInfo(s).numTasks for s in stages]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 80
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == held
+    assert {(int(r.doc_id), r.text) for r in docs.collect()} == {(i, f"text {i}\n") for i in range(80)}
+
+
 def test_texts_without_a_first_word_are_not_cut_into_words(spark, monkeypatch):
     words = ["ada", "j", "οδος"]
     texts = ["Ada", "x ada-y", "Adam xAda ada_", "J. R.", "ΟΔΟΣ'Α", "a ΟΔΟΣ", "İada", "", None]
