@@ -38,6 +38,47 @@ def test_last_mark_is_carried_over_empty_chunks(spark):
     ], key=str)
 
 
+WORD = "image_id bigint, word_no bigint, text string, conf int, left int, top int, width int, height int"
+
+
+def _ocr_rows(spark, texts):
+    """Images with gaps of all sizes between their words, one without a key and one without a place."""
+    rows = [(image, no, texts[no % len(texts)], 90 - no % 7 * 10, no, None if no % 5 == 0 else 3, 5, 7)
+            for image in range(4) for no in sorted({n * n % (7 + 90 * image) for n in range(60)})]
+    return spark.createDataFrame(rows + [(None, 1, "x", 99, 1, 1, 1, 1), (3, None, "x", 99, 1, 1, 1, 1)], WORD)
+
+
+def test_words_move_once_to_their_neighbours(spark):
+    """A row of several columns for each word, moved twice, filled the disk."""
+    words = _ocr_rows(spark, ["a", "b"])
+    with_next = ocr.confident_words(words, ahead=ocr.AHEAD)
+    exchanges = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+                 for df in (with_next, ocr.ngrams(with_next))]
+    assert exchanges[0] == exchanges[1]
+    assert "following" in with_next.columns and "following" not in ocr.confident_words(words).columns
+
+
+@pytest.mark.parametrize("chunk", [2, 5, 16, 65_536])
+def test_neighbours_ahead_are_those_of_the_dense_numbers(spark, chunk):
+    """Across chunks too, some of which have one sure word or none."""
+    words = _ocr_rows(spark, ["a", "b,c", " x\n,y ", ",", "1,2", "é"])
+    plain = ocr.confident_words(words, chunk)
+    ahead = ocr.confident_words(words, chunk, ahead=ocr.AHEAD)
+    assert sorted(map(str, ahead.drop("following").collect())) == sorted(map(str, plain.collect()))
+    want = sorted(map(str, ocr.ngrams(plain, chunk).collect()))
+    assert sorted(map(str, ocr.ngrams(ahead, chunk).collect())) == want and len(want) > 100
+
+
+def test_short_rows_are_undone(spark):
+    schema = "k int, t string, a bigint, u string, b int, d double"
+    rows = [(1, "x,1", 5, "u", None, 0.5), (2, None, None, None, -7, None), (3, "", 1 << 62, "", 0, 1.0),
+            (None, ",\n é", None, None, None, None), (5, "1", 2, "3", 4, 5.0)]
+    df = spark.createDataFrame(rows, schema)
+    short, back = ordering.slim(df, "k")
+    assert set(short.columns) == {"k", "u", "d", "_row"}
+    assert sorted(map(str, back(short).select(*df.columns).collect())) == sorted(map(str, df.collect()))
+
+
 def test_entities_without_an_image_mark_no_word(spark):
     word = "image_id bigint, word_no bigint, text string, left int, top int, width int, height int"
     words = spark.createDataFrame([
