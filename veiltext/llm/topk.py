@@ -242,7 +242,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 20, stripe: int = 128,
         (F.col("stripe") % lanes).cast("int").alias("lane"), "queries",
     )
     laid = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    met = laid.join(sent, ["block", "lane"]).select("n", "ids", "lowest", "widths", "slices", "queries")
+    # Each block's copy of the queries is not in the size that Spark guesses, so it would be broadcast.
+    met = laid.join(sent.hint("merge"), ["block", "lane"]).select("n", "ids", "lowest", "widths", "slices", "queries")
     hits = met.mapInArrow(partial(_search, k=k), HITS)
     best = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
