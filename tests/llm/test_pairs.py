@@ -242,3 +242,11 @@ def test_archives_of_the_table(spark, folder, tmp_path):
     assert {r.page_id: r.payload for r in warc.read_archives(spark, path).collect()} == html
     warc.write_archives(pages.filter("false"), str(tmp_path / "none"))
     assert warc.resolved_pages(warc.read_archives(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_queries_are_not_broadcast_to_the_blocks(spark, folder):
+    """Their files are small, but a stripe goes to every block, and the driver would hold all of that."""
+    vectors = topk.quantised(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    found = topk.top_k(topk.bit_sliced_index(vectors, block_rows=100), vectors.filter("vec_id % 20 = 0"), 20, stripe=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
